@@ -118,11 +118,13 @@ def metres_between(lng1, lat1, lng2, lat2) -> np.ndarray:
 
 def _kilometres(lng1: pa.Array, lat1: pa.Array, lng2: pa.Array, lat2: pa.Array) -> pa.Array:
     degrees = [a.to_numpy(zero_copy_only=False) for a in (lng1, lat1, lng2, lat2)]
-    return pa.array(metres_between(*degrees) / 1000, type=pa.float64(), from_pandas=True)
+    km = metres_between(*degrees) / 1000
+    # A measured length does not fall on a rounding tie.
+    return pa.array(np.rint(km * 100) / 100, type=pa.float64(), from_pandas=True)
 
 
 def geodesic_km(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> Column:
-    """Geodesic kilometres; NULL when a coordinate is NULL.
+    """Geodesic kilometres, two decimals; NULL when a coordinate is NULL.
 
     Marked non-deterministic only so that a later filter on the result is not
     moved below it, which would evaluate the function a second time. Put cheap

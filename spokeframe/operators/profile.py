@@ -90,10 +90,9 @@ def cleaning_audit(trips: DataFrame, incomplete: Sequence[str] | None = None) ->
     rows, each on its own, so a row can count under several.
     """
     # Before the timestamps are parsed: an unreadable one is not a missing value.
-    columns = list(incomplete or trips.columns)
     lacking = F.lit(False)
-    for name in columns:
-        lacking = lacking | F.col(name).isNull()
+    for name in incomplete or trips.columns:
+        lacking = lacking | ~cleaning.is_present(trips, name)
     audited = cleaning.derive(trips.withColumn("incomplete", lacking))
     complete = ~F.col("incomplete")
     rules = {

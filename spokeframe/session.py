@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 MIB = 1024**2
 
@@ -56,3 +56,13 @@ def shared_folder(spark: SparkSession) -> str | None:
     if not configured and spark.sparkContext.master.startswith("local"):
         return tempfile.mkdtemp(prefix="spokeframe-")
     return configured or None
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """Use all cores for an input with fewer splits than cores.
+
+    A file with one row group is one task however many cores wait. Such an input
+    is small, so is moving its rows; an input with splits enough is left alone.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)

@@ -12,8 +12,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import SOURCE_COLUMNS
-
-# Station indexes that stand for a special name.
+from ..session import spread
+
+LINEITEM_COLUMNS = (
+    "l_orderkey",
+    "l_partkey",
+    "l_suppkey",
+    "l_linenumber",
+    "l_extendedprice",
+    "l_returnflag",
+    "l_linestatus",
+    "l_shipdate",
+)
+
+# --- Fixed values: station indexes that stand for a special name ---
 START_NAMES = {
     7: "",
     11: "Base - 2132 W Hubbard Warehouse",
@@ -28,33 +40,33 @@ END_NAMES = {
 }
 
 
+STATIONS = 60
+# --- End of fixed values ---
+
+
 def _station_name(index: Column, special: dict[int, str]) -> Column:
-    name = F.concat(F.lit("Station "), index.cast("string"))
-    for number, text in special.items():
-        name = F.when(index == number, F.lit(text)).otherwise(name)
-    return name
+    names = [special.get(i, f"Station {i}") for i in range(STATIONS)]
+    return F.get(F.array(*[F.lit(name) for name in names]), index.cast("int"))
 
 
 def _plus_seconds(moment: Column, seconds: Column) -> Column:
-    zero = F.lit(0)
-    return moment + F.make_dt_interval(zero, zero, zero, seconds.cast("decimal(18,6)"))
+    return moment + F.expr("INTERVAL '1' SECOND") * seconds
 
 
 def trips_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     order, part, supplier, line = (
         F.col(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
     )
-    helpers = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
-        "*", F.rint(F.col("l_extendedprice") * 100.0).cast("bigint").alias("cents")
-    )
+    items = spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*LINEITEM_COLUMNS))
+    helpers = items.select("*", F.rint(F.col("l_extendedprice") * 100.0).cast("bigint").alias("cents"))
     cents = F.col("cents")
     duration = (
         F.when(cents % 97 == 0, F.lit(60)).when(cents % 89 == 0, F.lit(0)).otherwise(cents % 5400 - 30)
     )
     helpers = helpers.select(
         "*",
-        F.least(order % 60, (supplier * 7 + line) % 60).alias("start_index"),
-        F.least(part % 60, (order * 3 + line) % 60).alias("end_index"),
+        F.least(order % STATIONS, (supplier * 7 + line) % STATIONS).alias("start_index"),
+        F.least(part % STATIONS, (order * 3 + line) % STATIONS).alias("end_index"),
         ((cents * 31 + order * 7 + line) % 86400).alias("start_second"),
         duration.alias("duration"),
     )
