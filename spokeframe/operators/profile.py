@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..schema import SOURCE_COLUMNS
 from . import cleaning
+from .keeping import Keep, as_planned
 from .quantiles import exact_quantiles
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -112,17 +113,21 @@ def cleaning_audit(trips: DataFrame, incomplete: Sequence[str] | None = None) ->
     )
 
 
-def repeated_rows(table: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def repeated_rows(
+    table: DataFrame, columns: Sequence[str] | None = None, keep: Keep = as_planned
+) -> DataFrame:
     """Every set of equal rows with more than one member, and its size.
 
-    Full rows are only shuffled where a 64-bit hash occurs more than once: first
+    Full rows are only compared where a 64-bit hash occurs more than once: first
     the hashes alone are counted, then the rows behind repeated hashes are
-    compared in full, so equal hashes of different rows do no harm.
+    compared in full, so equal hashes of different rows do no harm. ``keep``
+    stores the repeated hashes in between, few or none as a rule, so that rows
+    without one are dropped where they are read instead of being shuffled.
     """
     columns = list(columns or table.columns)
     hashed = table.select(*columns).withColumn("row_hash", F.xxhash64(*[_hash_input(table, c) for c in columns]))
     repeated = hashed.groupBy("row_hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    suspects = hashed.join(repeated.select("row_hash"), "row_hash", "left_semi")
+    suspects = hashed.join(keep(repeated.select("row_hash")), "row_hash", "left_semi")
     counted = suspects.groupBy(*columns).agg(F.count(F.lit(1)).alias("copies"))
     return counted.where(F.col("copies") > 1)
 
@@ -134,11 +139,13 @@ def _hash_input(table: DataFrame, name: str) -> Column:
     return F.col(name)
 
 
-def has_duplicate_rows(table: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def has_duplicate_rows(
+    table: DataFrame, columns: Sequence[str] | None = None, keep: Keep = as_planned
+) -> DataFrame:
     """One row: does any full row occur twice?"""
-    return repeated_rows(table, columns).limit(1).agg((F.count(F.lit(1)) > 0).alias("has_duplicates"))
+    return repeated_rows(table, columns, keep).limit(1).agg((F.count(F.lit(1)) > 0).alias("has_duplicates"))
 
 
-def has_duplicate_trips(trips: DataFrame) -> DataFrame:
+def has_duplicate_trips(trips: DataFrame, keep: Keep = as_planned) -> DataFrame:
     """Duplicate check of trips; derived columns follow from these, so they are skipped."""
-    return has_duplicate_rows(trips, SOURCE_COLUMNS)
+    return has_duplicate_rows(trips, SOURCE_COLUMNS, keep)

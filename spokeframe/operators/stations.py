@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.rounding import percent_of
+from ..functions.rounding import hundredths, percent_of
 from ..schema import USER_TYPES
+from .keeping import Keep, as_planned
 
 ALL_RIDERS = "all"
 # The ride that stands for a station: the shortest, then the nearest; the rest of
@@ -143,11 +144,38 @@ def distinct_rides(rides: DataFrame, side: str, user_types: Sequence[str] = USER
     )
 
 
-def representative_points(rides: DataFrame, side: str) -> DataFrame:
-    """Coordinates of the ride that stands for each station, overall and per rider type."""
+def shortest_rides(rides: DataFrame, side: str) -> DataFrame:
+    """Per station and rider type, the least length and, among those, the least distance."""
+    return (
+        named(rides, side)
+        .groupBy(station_column(side), "member_casual")
+        .agg(F.min(_pick_key()).alias("pick_key"))
+    )
+
+
+def _pick_key() -> Column:
+    """Length and distance as one number that sorts by length, then by distance.
+
+    A plain number keeps the minimum in a hash aggregate; the minimum of a struct
+    would sort all rides by station first. No two points are 2^22 hundredths of a
+    kilometre apart: half the way around the Earth is less than half of that.
+    """
+    return hundredths(F.col("ride_length")) * 2**22 + hundredths(F.col("ride_distance"))
+
+
+def representative_points(rides: DataFrame, side: str, keep: Keep = as_planned) -> DataFrame:
+    """Coordinates of the ride that stands for each station, overall and per rider type.
+
+    Two scans: the first finds each station's least length and distance, the
+    second looks at the rides that have them. ``keep`` stores the small result of
+    the first, so that the join is planned by its real size.
+    """
     station = station_column(side)
+    shortest = keep(shortest_rides(rides, side))
+    candidates = named(rides, side).withColumn("pick_key", _pick_key())
+    candidates = candidates.join(shortest, [station, "member_casual", "pick_key"], "left_semi")
     ride = F.struct(*PICK_ORDER, F.col(f"{side}_lat").alias("lat"), F.col(f"{side}_lng").alias("lng"))
-    per_user = named(rides, side).groupBy(station, "member_casual").agg(F.min(ride).alias("ride"))
+    per_user = candidates.groupBy(station, "member_casual").agg(F.min(ride).alias("ride"))
     overall = per_user.groupingSets(
         [[F.col(station), F.col("member_casual")], [F.col(station)]], station, "member_casual"
     ).agg(F.min("ride").alias("ride"), F.grouping("member_casual").alias("is_all"))
@@ -155,10 +183,12 @@ def representative_points(rides: DataFrame, side: str) -> DataFrame:
     return overall.select(station, group.alias("rider_group"), "ride.lat", "ride.lng")
 
 
-def station_activity(rides: DataFrame, side: str, user_types: Sequence[str] = USER_TYPES) -> DataFrame:
+def station_activity(
+    rides: DataFrame, side: str, user_types: Sequence[str] = USER_TYPES, keep: Keep = as_planned
+) -> DataFrame:
     """Distinct rides and a map position per station and rider group."""
     counted = distinct_rides(rides, side, user_types)
-    points = representative_points(rides, side)
+    points = representative_points(rides, side, keep)
     return counted.join(points, [station_column(side), "rider_group"], "left")
 
 

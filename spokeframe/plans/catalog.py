@@ -148,7 +148,8 @@ def cleaning_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def has_duplicate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.has_duplicate_trips(_complete(spark, sf_dir))
+    keep = tables.keeper(spark, sf_dir, "repeated_hashes")
+    return profile.has_duplicate_trips(_complete(spark, sf_dir), keep)
 
 
 def station_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

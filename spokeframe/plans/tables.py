@@ -6,7 +6,7 @@
 ``ride_facts``            additive rollup for all summaries; one scan
 ``<side>_counts``         rides per station, rider type and month; one scan
 ``<side>_activity``       distinct rides and map position per station; one
-                          shuffle of station and ride id, one scan
+                          shuffle of station and ride id, two scans
 ========================  =====================================================
 
 Facts, counts and activity are bounded by the number of categories or stations,
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import month_text
 from ..operators import cleaning, measures, stations
+from ..operators.keeping import Keep
 from ..schema import SOURCE_COLUMNS, TIME_COLUMNS
 from ..sinks import write_csv
 from ..sources import trips_from_lineitem
@@ -52,9 +53,16 @@ def counts(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
 
 
 def activity(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
-    return stored(
-        spark, sf_dir, f"{side}_activity", lambda: stations.station_activity(rides(spark, sf_dir), side)
-    )
+    def build() -> DataFrame:
+        keep = keeper(spark, sf_dir, f"{side}_shortest")
+        return stations.station_activity(rides(spark, sf_dir), side, keep=keep)
+
+    return stored(spark, sf_dir, f"{side}_activity", build)
+
+
+def keeper(spark: SparkSession, sf_dir: str, name: str) -> Keep:
+    """Stores the intermediate table of an operator under ``name``."""
+    return lambda table: stored(spark, sf_dir, name, lambda: table)
 
 
 def month_folders(spark: SparkSession, sf_dir: str) -> list[str]:
@@ -67,7 +75,9 @@ def month_folders(spark: SparkSession, sf_dir: str) -> list[str]:
                 **{c: F.col(c).cast("string") for c in TIME_COLUMNS},
             }
         )
-        text.write.partitionBy("file_month").option("header", True).option("escape", '"').csv(path)
+        # Even files of a useful size, however the months are spread over the input.
+        even = text.hint("rebalance", F.col("file_month"))
+        even.write.partitionBy("file_month").option("header", True).option("escape", '"').csv(path)
 
     path, _ = written_once(spark, sf_dir, "monthly_csv", write)
     return [f"{path}/file_month={month:02d}" for month in range(1, 13)]
