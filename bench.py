@@ -16,21 +16,21 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from spokeframe.plans import QUERIES, tables  # noqa: E402
+from spokeframe.plans import REPORTS, RideTables  # noqa: E402
 from spokeframe.session import local_session  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 1))
 
 PREPARE = {
-    "prepare_trips": tables.trips,
-    "prepare_clean_rides": tables.rides,
-    "prepare_ride_facts": tables.facts,
-    "prepare_start_counts": lambda spark, sf: tables.counts(spark, sf, "start"),
-    "prepare_end_counts": lambda spark, sf: tables.counts(spark, sf, "end"),
-    "prepare_start_activity": lambda spark, sf: tables.activity(spark, sf, "start"),
-    "prepare_end_activity": lambda spark, sf: tables.activity(spark, sf, "end"),
-    "prepare_monthly_csv": tables.month_folders,
+    "prepare_trips": lambda t: t.trips(),
+    "prepare_clean_rides": lambda t: t.rides(),
+    "prepare_ride_facts": lambda t: t.facts(),
+    "prepare_start_counts": lambda t: t.counts("start"),
+    "prepare_end_counts": lambda t: t.counts("end"),
+    "prepare_start_activity": lambda t: t.activity("start"),
+    "prepare_end_activity": lambda t: t.activity("end"),
+    "prepare_monthly_csv": lambda t: t.month_files(),
 }
 
 
@@ -43,17 +43,18 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1000).selectExpr("sum(id)").collect()  # start the engine before the clock
 
+    tables = RideTables.from_lineitem(spark, SF_DIR)
     seconds: dict[str, float] = {}
     for name, prepare in PREPARE.items():
         began = time.perf_counter()
-        prepare(spark, SF_DIR)
+        prepare(tables)
         seconds[name] = round(time.perf_counter() - began, 3)
-    for name, query in QUERIES.items():
+    for name, report in REPORTS.items():
         began = time.perf_counter()
-        query(spark, SF_DIR).write.format("noop").mode("overwrite").save()
+        report(tables).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - began, 3)
 
-    trips = tables.trips(spark, SF_DIR).count()
+    trips = tables.trips().count()
     pipeline = seconds["prepare_clean_rides"] + seconds["prepare_ride_facts"]
     print(
         json.dumps(

@@ -1,10 +1,13 @@
 """Bike-share trip analytics on Spark."""
 
 from .operators import charts, cleaning, measures, profile, quantiles, stations, summaries
+from .plans import REPORTS, RideTables, write_map_tables
 from .session import cluster_settings, local_session
 from .sources import read_trips
 
 __all__ = [
+    "REPORTS",
+    "RideTables",
     "charts",
     "cleaning",
     "cluster_settings",
@@ -15,4 +18,5 @@ __all__ = [
     "read_trips",
     "stations",
     "summaries",
+    "write_map_tables",
 ]

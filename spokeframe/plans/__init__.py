@@ -1,3 +1,4 @@
-from .catalog import QUERIES
+from .catalog import QUERIES, REPORTS, write_map_tables
+from .tables import RideTables
 
-__all__ = ["QUERIES"]
+__all__ = ["QUERIES", "REPORTS", "RideTables", "write_map_tables"]

@@ -1,4 +1,4 @@
-"""Every report by name: callables of (spark, source folder)."""
+"""Every report by name, over the shared tables of a trip source."""
 
 from __future__ import annotations
 
@@ -7,14 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.calendar import month_abbreviation
 from ..operators import charts, cleaning, profile, stations, summaries
 from ..schema import RIDE_COLUMNS, SOURCE_COLUMNS
 from ..sinks import write_ranked_csv
-from ..sources import append_all, read_trips
-from . import tables
+from ..sources import append_all, month_of_path, read_trips
+from .tables import RideTables
 
-Query = Callable[[SparkSession, str], DataFrame]
+Report = Callable[[RideTables], DataFrame]
 
 IDENTITY = ("ride_id", "started_at", "ended_at")
 INSPECT_ROWS = 6
@@ -25,55 +24,55 @@ SHORT_MAP_ROWS = 25
 # Rows -----------------------------------------------------------------------
 
 
-def trips_by_month_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = tables.month_folders(spark, sf_dir)
-    rows = read_trips(spark, paths, source_column="source_path")
-    month = F.regexp_extract("source_path", r"file_month=(\d+)", 1).cast("int")
-    return rows.groupBy(month_abbreviation(month).alias("month_file")).agg(F.count(F.lit(1)).alias("rows"))
+def trips_by_month_file(tables: RideTables) -> DataFrame:
+    rows = read_trips(tables.spark, tables.month_files(), source_column="source_path")
+    return rows.groupBy(month_of_path(F.col("source_path")).alias("month_file")).agg(
+        F.count(F.lit(1)).alias("rows")
+    )
 
 
-def trips_union_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    months = [read_trips(spark, [path]) for path in tables.month_folders(spark, sf_dir)]
+def trips_union_all(tables: RideTables) -> DataFrame:
+    months = [read_trips(tables.spark, [path]) for path in tables.month_files()]
     return cleaning.parse_times(append_all(months)).select(*SOURCE_COLUMNS)
 
 
-def _complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleaning.drop_incomplete(tables.trips(spark, sf_dir))
+def _complete(tables: RideTables) -> DataFrame:
+    return cleaning.drop_incomplete(tables.trips())
 
 
-def trips_drop_na(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _complete(spark, sf_dir).select(*SOURCE_COLUMNS)
+def trips_drop_na(tables: RideTables) -> DataFrame:
+    return _complete(tables).select(*SOURCE_COLUMNS)
 
 
-def trips_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = cleaning.drop_incomplete(read_trips(spark, tables.month_folders(spark, sf_dir)))
+def trips_calendar(tables: RideTables) -> DataFrame:
+    text = cleaning.drop_incomplete(read_trips(tables.spark, tables.month_files()))
     dated = cleaning.add_calendar(cleaning.parse_times(text))
     return dated.select(*IDENTITY, "date", "month", "day", "year", "day_of_week", "day_index")
 
 
-def trips_ride_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleaning.add_ride_length(_complete(spark, sf_dir)).select(*IDENTITY, "ride_length")
+def trips_ride_length(tables: RideTables) -> DataFrame:
+    return cleaning.add_ride_length(_complete(tables)).select(*IDENTITY, "ride_length")
 
 
-def trips_ride_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    measured = cleaning.add_ride_distance(_complete(spark, sf_dir))
+def trips_ride_distance(tables: RideTables) -> DataFrame:
+    measured = cleaning.add_ride_distance(_complete(tables))
     return measured.select(*IDENTITY, "start_lat", "start_lng", "end_lat", "end_lng", "ride_distance")
 
 
-def trips_ride_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleaning.derive(_complete(spark, sf_dir)).select(
+def trips_ride_speed(tables: RideTables) -> DataFrame:
+    return cleaning.derive(_complete(tables)).select(
         *IDENTITY, "ride_length", "ride_distance", "ride_speed"
     )
 
 
-def clean_rides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.rides(spark, sf_dir).select(*RIDE_COLUMNS)
+def clean_rides(tables: RideTables) -> DataFrame:
+    return tables.rides().select(*RIDE_COLUMNS)
 
 
-def inspect_shortest(spark: SparkSession, sf_dir: str) -> DataFrame:
+def inspect_shortest(tables: RideTables) -> DataFrame:
     columns = ("ride_length", "ride_distance", "started_at", "ride_id")
     return (
-        cleaning.derive(_complete(spark, sf_dir))
+        cleaning.derive(_complete(tables))
         .select(*columns)
         .orderBy(*[F.asc_nulls_last(c) for c in columns])
         .limit(INSPECT_ROWS)
@@ -83,41 +82,39 @@ def inspect_shortest(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Families of reports --------------------------------------------------------
 
 
-def _from_facts(report: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: report(tables.facts(spark, sf_dir))
+def _from_facts(report: Callable[[DataFrame], DataFrame]) -> Report:
+    return lambda tables: report(tables.facts())
 
 
-def _from_counts(side: str, report: Callable[..., DataFrame], **options) -> Query:
-    return lambda spark, sf_dir: report(tables.counts(spark, sf_dir, side), side, **options)
+def _from_counts(side: str, report: Callable[..., DataFrame], **options) -> Report:
+    return lambda tables: report(tables.counts(side), side, **options)
 
 
-def _map_table(side: str, **options) -> Query:
-    return lambda spark, sf_dir: stations.busiest(tables.activity(spark, sf_dir, side), side, **options)
+def _map_table(side: str, **options) -> Report:
+    return lambda tables: stations.busiest(tables.activity(side), side, **options)
 
 
-def _map_table_csv(name: str) -> Query:
+def _map_table_csv(name: str) -> Report:
     options = stations.MAP_TABLES[name]
 
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        table = _map_table(**options)(spark, sf_dir)
+    def report(tables: RideTables) -> DataFrame:
+        table = _map_table(**options)(tables)
         order = stations.busiest_order(options["side"])
-        return tables.csv_round_trip(
-            spark, sf_dir, name, table, lambda t, path: write_ranked_csv(t, path, order)
-        )
+        return tables.csv_round_trip(name, table, lambda t, path: write_ranked_csv(t, path, order))
 
-    return query
+    return report
 
 
-def station_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
+def station_cardinality(tables: RideTables) -> DataFrame:
     return append_all(
-        stations.station_cardinality(tables.counts(spark, sf_dir, side), side) for side in ("start", "end")
+        stations.station_cardinality(tables.counts(side), side) for side in ("start", "end")
     )
 
 
-def top_n_with_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+def top_n_with_ties(tables: RideTables) -> DataFrame:
     """The three busiest start stations of every month, ties kept."""
     monthly = (
-        tables.counts(spark, sf_dir, "start")
+        tables.counts("start")
         .groupBy("month", "start_station_name")
         .agg(F.sum("rides").alias("count"))
     )
@@ -127,36 +124,36 @@ def top_n_with_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Profiles and checks --------------------------------------------------------
 
 
-def profile_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.profile_numeric(tables.trips(spark, sf_dir))
+def profile_numeric(tables: RideTables) -> DataFrame:
+    return profile.profile_numeric(tables.trips())
 
 
-def profile_rides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.profile_numeric(tables.rides(spark, sf_dir))
+def profile_rides(tables: RideTables) -> DataFrame:
+    return profile.profile_numeric(tables.rides())
 
 
-def profile_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.profile_text(tables.trips(spark, sf_dir))
+def profile_text(tables: RideTables) -> DataFrame:
+    return profile.profile_text(tables.trips())
 
 
-def profile_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.profile_shape(tables.trips(spark, sf_dir))
+def profile_shape(tables: RideTables) -> DataFrame:
+    return profile.profile_shape(tables.trips())
 
 
-def cleaning_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.cleaning_audit(tables.trips(spark, sf_dir))
+def cleaning_audit(tables: RideTables) -> DataFrame:
+    return profile.cleaning_audit(tables.trips())
 
 
-def has_duplicate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keep = tables.keeper(spark, sf_dir, "repeated_hashes")
-    return profile.has_duplicate_trips(_complete(spark, sf_dir), keep)
+def has_duplicate_rows(tables: RideTables) -> DataFrame:
+    keep = tables.keep("repeated_hashes")
+    return profile.has_duplicate_trips(_complete(tables), keep)
 
 
-def station_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.has_duplicate_rows(_map_table(**stations.MAP_TABLES["rides_started_station"])(spark, sf_dir))
+def station_duplicates(tables: RideTables) -> DataFrame:
+    return profile.has_duplicate_rows(_map_table(**stations.MAP_TABLES["rides_started_station"])(tables))
 
 
-QUERIES: dict[str, Query] = {
+REPORTS: dict[str, Report] = {
     # Sources, cleaning, derived columns
     "trips_by_month_file": trips_by_month_file,
     "trips_union_all": trips_union_all,
@@ -240,3 +237,18 @@ QUERIES: dict[str, Query] = {
     "chart_daily_distance": _from_facts(charts.daily_distance),
     "label_counts": _from_facts(charts.label_counts),
 }
+
+
+def _over_lineitem(report: Report) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: report(RideTables.from_lineitem(spark, sf_dir))
+
+
+# The same reports over the trips made up from the test data, by (spark, folder).
+QUERIES = {name: _over_lineitem(report) for name, report in REPORTS.items()}
+
+
+def write_map_tables(tables: RideTables, folder: str) -> None:
+    """Write the six station tables as CSV for a mapping tool."""
+    for name, options in stations.MAP_TABLES.items():
+        table = _map_table(**options)(tables)
+        write_ranked_csv(table, f"{folder.rstrip('/')}/{name}", stations.busiest_order(options["side"]))

@@ -1,7 +1,7 @@
-"""The stored tables the reports share, per source folder.
+"""The stored tables the reports share.
 
 ========================  =====================================================
-``trips``                 trip records made up from the test data; map-only
+``trips``                 trip records as delivered, out of CSV; map-only
 ``clean_rides``           cleaned rides; one map-only pass over the trips
 ``ride_facts``            additive rollup for all summaries; one scan
 ``<side>_counts``         rides per station, rider type and month; one scan
@@ -15,77 +15,107 @@ so each report read off them costs next to nothing at any input size.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.calendar import month_text
+from ..functions.calendar import month_abbreviation
 from ..operators import cleaning, measures, stations
 from ..operators.keeping import Keep
-from ..schema import SOURCE_COLUMNS, TIME_COLUMNS
+from ..schema import MONTHS, TIME_COLUMNS
 from ..sinks import write_csv
-from ..sources import trips_from_lineitem
+from ..sources import month_paths, read_trips, trips_from_lineitem
 from .store import stored, written_once
 
 
-def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The trip records, as if delivered in parquet.
+@dataclass(frozen=True)
+class RideTables:
+    """The shared tables of one trip source.
 
-    Stored because the test data holds none: left as a view, the arithmetic that
-    makes them up would be copied into every filter of every report.
+    ``source`` tells sources apart in the store; ``read`` gives the trip records
+    and ``month_files`` the paths of the monthly CSV files.
     """
-    return stored(spark, sf_dir, "trips", lambda: trips_from_lineitem(spark, sf_dir))
-
 
-def rides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(
-        spark, sf_dir, "clean_rides", lambda: cleaning.clean_rides(trips(spark, sf_dir), SOURCE_COLUMNS)
-    )
+    spark: SparkSession
+    source: str
+    read: Callable[[], DataFrame]
+    month_files: Callable[[], list[str]]
+
+    @classmethod
+    def from_csv(cls, spark: SparkSession, folder: str) -> RideTables:
+        """Twelve monthly CSV files in ``folder``."""
+        return cls.from_files(spark, month_paths(folder))
+
+    @classmethod
+    def from_files(cls, spark: SparkSession, paths: list[str]) -> RideTables:
+        """Any CSV files or folders of files with a trip header."""
+        return cls(spark, "|".join(paths), lambda: read_trips(spark, paths), lambda: paths)
+
+    @classmethod
+    def from_lineitem(cls, spark: SparkSession, sf_dir: str) -> RideTables:
+        """Trips made up from the test data's ``lineitem`` table."""
+        return cls(
+            spark,
+            sf_dir,
+            lambda: trips_from_lineitem(spark, sf_dir),
+            lambda: export_months(spark, sf_dir, cls.from_lineitem(spark, sf_dir).trips()),
+        )
 
+    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        return stored(self.spark, self.source, name, build)
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(spark, sf_dir, "ride_facts", lambda: measures.rollup(rides(spark, sf_dir)))
+    def keep(self, name: str) -> Keep:
+        """Stores the intermediate table of an operator under ``name``."""
+        return lambda table: self.stored(name, lambda: table)
 
+    def trips(self) -> DataFrame:
+        """The trip records; stored, as checks and profiles scan them many times.
 
-def counts(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
-    return stored(
-        spark, sf_dir, f"{side}_counts", lambda: stations.station_counts(rides(spark, sf_dir), side)
-    )
+        Left as a view, parsing (or, for the test data, the arithmetic that makes
+        the trips up) would be repeated in every scan and copied into its filters.
+        """
+        return self.stored("trips", self.read)
 
+    def rides(self) -> DataFrame:
+        return self.stored("clean_rides", lambda: cleaning.clean_rides(self.trips()))
 
-def activity(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
-    def build() -> DataFrame:
-        keep = keeper(spark, sf_dir, f"{side}_shortest")
-        return stations.station_activity(rides(spark, sf_dir), side, keep=keep)
+    def facts(self) -> DataFrame:
+        return self.stored("ride_facts", lambda: measures.rollup(self.rides()))
 
-    return stored(spark, sf_dir, f"{side}_activity", build)
+    def counts(self, side: str) -> DataFrame:
+        return self.stored(f"{side}_counts", lambda: stations.station_counts(self.rides(), side))
 
+    def activity(self, side: str) -> DataFrame:
+        return self.stored(
+            f"{side}_activity",
+            lambda: stations.station_activity(self.rides(), side, keep=self.keep(f"{side}_shortest")),
+        )
 
-def keeper(spark: SparkSession, sf_dir: str, name: str) -> Keep:
-    """Stores the intermediate table of an operator under ``name``."""
-    return lambda table: stored(spark, sf_dir, name, lambda: table)
+    def csv_round_trip(
+        self, name: str, table: DataFrame, write: Callable[[DataFrame, str], None] = write_csv
+    ) -> DataFrame:
+        """Write a report as CSV and read it back in the report's types."""
+        path, _ = written_once(self.spark, self.source, f"csv_{name}", lambda p: write(table, p))
+        back = self.spark.read.option("header", True).option("escape", '"').csv(path)
+        types = {f.name: f.dataType for f in table.schema.fields}
+        return back.select(*[F.col(c).cast(types.get(c, "bigint")) for c in back.columns])
 
 
-def month_folders(spark: SparkSession, sf_dir: str) -> list[str]:
-    """The trips exported as CSV, one folder of files per month, for the CSV reader."""
+def export_months(spark: SparkSession, source: str, trips: DataFrame) -> list[str]:
+    """Write trips as CSV, one folder of files per month, and return the folders."""
 
     def write(path: str) -> None:
-        text = trips(spark, sf_dir).withColumns(
+        text = trips.withColumns(
             {
-                "file_month": month_text(F.to_date("started_at")),
+                "month_file": month_abbreviation(F.month("started_at")),
                 **{c: F.col(c).cast("string") for c in TIME_COLUMNS},
             }
         )
         # Even files of a useful size, however the months are spread over the input.
-        even = text.hint("rebalance", F.col("file_month"))
-        even.write.partitionBy("file_month").option("header", True).option("escape", '"').csv(path)
-
-    path, _ = written_once(spark, sf_dir, "monthly_csv", write)
-    return [f"{path}/file_month={month:02d}" for month in range(1, 13)]
-
+        even = text.hint("rebalance", F.col("month_file"))
+        even.write.partitionBy("month_file").option("header", True).option("escape", '"').csv(path)
 
-def csv_round_trip(spark: SparkSession, sf_dir: str, name: str, table: DataFrame, write=write_csv) -> DataFrame:
-    """Write a report as CSV and read it back in the report's types."""
-    path, _ = written_once(spark, sf_dir, f"csv_{name}", lambda p: write(table, p))
-    back = spark.read.option("header", True).option("escape", '"').csv(path)
-    types = {f.name: f.dataType for f in table.schema.fields}
-    return back.select(*[F.col(c).cast(types.get(c, "bigint")) for c in back.columns])
+    path, _ = written_once(spark, source, "monthly_csv", write)
+    return [f"{path}/month_file={month}" for month in MONTHS]

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +25,11 @@ def month_paths(folder: str) -> list[str]:
     return [f"{folder.rstrip('/')}/{name}" for name in MONTH_FILES]
 
 
+def month_of_path(path: Column) -> Column:
+    """The month in the name of a monthly file, or of a ``month_file=`` folder."""
+    return F.regexp_extract(path, r"(?:/|month_file=)([A-Z][a-z]{2})(?:_trips\.csv|/)", 1)
+
+
 def _reader(spark: SparkSession, multiline: bool):
     # A quote inside a quoted field is doubled; a backslash is an ordinary character.
     return spark.read.option("header", True).option("escape", '"').option("multiLine", multiline)

@@ -9,7 +9,7 @@ from helpers import by, rows, trip, trips
 from spokeframe.operators import cleaning
 from spokeframe.schema import MONTHS, SOURCE_COLUMNS
 from spokeframe.sinks import ROW_NUMBER, write_csv, write_ranked_csv
-from spokeframe.sources import month_paths, read_trips
+from spokeframe.sources import month_of_path, month_paths, read_trips
 
 HEADER = list(SOURCE_COLUMNS)
 
@@ -48,7 +48,7 @@ def year(tmp_path):
 
 def test_twelve_files_matched_by_header_name(spark, year):
     table = read_trips(spark, month_paths(year), source_column="path")
-    per_file = by(table.groupBy(F.regexp_extract("path", r"(\w+)_trips\.csv$", 1).alias("file")).count(), "file")
+    per_file = by(table.groupBy(month_of_path(F.col("path")).alias("file")).count(), "file")
     assert {k: v["count"] for k, v in per_file.items()} == {m: i for i, m in enumerate(MONTHS, start=1)}
     clean = cleaning.clean_rides(table.drop("path"))
     months = by(clean.groupBy("month").count(), "month")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spokeframe.operators import cleaning, measures, profile, quantiles, stations, summaries
-from spokeframe.plans import tables
+from spokeframe.plans import REPORTS, RideTables
 from spokeframe.schema import SOURCE_COLUMNS
 from spokeframe.session import cluster_settings, spread
 
@@ -24,13 +24,18 @@ def read_columns(text: str) -> list[set[str]]:
 
 
 @pytest.fixture(scope="module")
-def trips(spark, sf_dir):
-    return tables.trips(spark, sf_dir)
+def tables(spark, sf_dir):
+    return RideTables.from_lineitem(spark, sf_dir)
 
 
 @pytest.fixture(scope="module")
-def rides(spark, sf_dir):
-    return tables.rides(spark, sf_dir)
+def trips(tables):
+    return tables.trips()
+
+
+@pytest.fixture(scope="module")
+def rides(tables):
+    return tables.rides()
 
 
 def test_cleaning_is_one_pass_with_one_distance_call(trips):
@@ -98,11 +103,9 @@ def test_quantiles_broadcast_only_brackets(rides):
     assert all(c == {"ride_length", "start_lat"} for c in read_columns(text))
 
 
-def test_no_query_uses_a_nested_loop_join(spark, sf_dir):
-    from spokeframe.plans import QUERIES
-
-    for name, query in QUERIES.items():
-        text = plan(query(spark, sf_dir))
+def test_no_report_uses_a_nested_loop_join(tables):
+    for name, report in REPORTS.items():
+        text = plan(report(tables))
         assert "CartesianProduct" not in text and "NestedLoop" not in text, name
 
 
@@ -120,14 +123,14 @@ def test_cluster_settings_grow_with_the_input():
     assert int(large["spark.sql.files.maxPartitionBytes"]) > int(small["spark.sql.files.maxPartitionBytes"])
 
 
-def test_rides_are_not_shuffled_to_pick_a_station_point(spark, sf_dir, rides):
-    keep = tables.keeper(spark, sf_dir, "start_shortest")
+def test_rides_are_not_shuffled_to_pick_a_station_point(tables, rides):
+    keep = tables.keep("start_shortest")
     assert "SortAggregate" not in plan(stations.shortest_rides(rides, "start"))
     text = plan(stations.representative_points(rides, "start", keep))
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
 
 
-def test_rows_without_a_repeated_hash_are_not_shuffled(spark, sf_dir, trips):
-    keep = tables.keeper(spark, sf_dir, "repeated_hashes_of_all_trips")
+def test_rows_without_a_repeated_hash_are_not_shuffled(tables, trips):
+    keep = tables.keep("repeated_hashes_of_all_trips")
     text = plan(profile.repeated_rows(trips, SOURCE_COLUMNS, keep))
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
