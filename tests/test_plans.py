@@ -97,7 +97,7 @@ def test_top_n_trims_groups_before_the_shuffle(rides):
 
 
 def test_quantiles_broadcast_only_brackets(rides):
-    values = profile._long(rides, ["ride_length", "start_lat"], "double")
+    values = profile.long_form(rides.select("ride_length", "start_lat"))
     text = plan(quantiles.exact_quantiles(values, [0.5]))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert all(c == {"ride_length", "start_lat"} for c in read_columns(text))

@@ -27,7 +27,7 @@ def test_duplicates_with_missing_values_and_many_copies(spark):
 
 
 def test_numeric_profile(spark):
-    table = spark.createDataFrame([(1.0, None), (2.0, None), (4.0, 3.0), (None, 5.0)], "x double, y double")
+    table = spark.createDataFrame([(1.0, None), (2.0, float("nan")), (4.0, 3.0), (None, 5.0)], "x double, y double")
     found = by(profile.profile_numeric(table), "column")
     x = found["x"]
     assert (x["minimum"], x["first_quartile"], x["median"], x["third_quartile"], x["maximum"]) == (1, 1.5, 2, 3, 4)
@@ -42,23 +42,23 @@ def test_all_missing_column(spark):
     assert found["y"]["median"] is None and found["y"]["na_count"] == 2
 
 
-@pytest.mark.parametrize("grid, accuracy", [(quantiles.GRID, quantiles.ACCURACY), (20, 400)])
-def test_quantiles_agree_with_brute_force(spark, monkeypatch, grid, accuracy):
-    """Skewed values, a third of them equal; a coarse sketch makes the brackets bind."""
-    monkeypatch.setattr(quantiles, "GRID", grid)
-    monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
+@pytest.mark.parametrize("bins, passes", [(quantiles.BINS, 2), (3, 3), (quantiles.BINS, 1)])
+def test_quantiles_agree_with_brute_force(spark, monkeypatch, bins, passes):
+    """Skewed values, a third of them equal; also with so few bins that many values are left."""
+    monkeypatch.setattr(quantiles, "BINS", bins)
     rng = random.Random(3)
     columns = {
         "hot": [7.0 if i % 3 == 0 else rng.gauss(7, 3) for i in range(20_000)],
         "tail": [rng.expovariate(1) ** 6 for _ in range(20_000)],
         "few": [float(rng.randrange(3)) for _ in range(5_001)],
         "one": [2.5],
+        "gap": [0.0] * 10 + [1e12] * 10,
     }
     long = spark.createDataFrame(
         [(name, v) for name, values in columns.items() for v in values], "column string, value double"
     ).repartition(6)
     probs = (0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0)
-    found = by(quantiles.exact_quantiles(long, probs), "column", "prob")
+    found = by(quantiles.exact_quantiles(long, probs, passes), "column", "prob")
     for name, values in columns.items():
         for p in probs:
             assert found[name, p]["quantile"] == pytest.approx(np.quantile(values, p), rel=1e-12, abs=1e-300)
