@@ -96,8 +96,12 @@ def exact_quantiles(values: DataFrame, probs: Sequence[float], passes: int = 2)
 
     counted = inside().groupBy(*TARGET, "value").agg(F.count(F.lit(1)).alias("rows"))
     found = _with_before(counted, "value", *TARGET).where(_holds_rank())
-    lower = F.max(F.when(~F.col("upper"), F.col("value")))
-    upper = F.max(F.when(F.col("upper"), F.col("value")))
-    return found.groupBy("column", "prob", "fraction").agg(
-        (lower + (upper - lower) * F.col("fraction")).alias("quantile")
-    ).drop("fraction")
+    neighbours = found.groupBy("column", "prob", "fraction").agg(
+        F.max(F.when(~F.col("upper"), F.col("value"))).alias("below"),
+        F.max(F.when(F.col("upper"), F.col("value"))).alias("above"),
+    )
+    below, above, fraction = F.col("below"), F.col("above"), F.col("fraction")
+    between = (1.0 - fraction) * below + fraction * above
+    return neighbours.select(
+        "column", "prob", F.when(below == above, below).otherwise(between).alias("quantile")
+    )

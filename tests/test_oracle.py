@@ -11,6 +11,8 @@ import pytest
 import __spark_entry__ as contract
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
+# DuckDB interpolates quantiles with one fused rounding; the last bit can differ.
+INTERPOLATED = ("profile_numeric", "profile_rides")
 TYPES = {
     "string": "VARCHAR",
     "bigint": "BIGINT",
@@ -46,7 +48,12 @@ def test_equal_to_duckdb(spark, duck, name):
     found = sorted((tuple(r[c] for c in columns) for r in table.collect()), key=repr)
     order = [expected.columns.index(c) for c in columns]
     wanted = sorted((tuple(r[i] for i in order) for r in expected.fetchall()), key=repr)
-    assert found == wanted
+    if name in INTERPOLATED:
+        assert [[r if isinstance(r, str) else pytest.approx(r, rel=1e-15, abs=0) for r in row] for row in wanted] == [
+            list(row) for row in found
+        ]
+    else:
+        assert found == wanted
 
 
 def test_entry(spark):
