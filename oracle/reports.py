@@ -301,6 +301,18 @@ def _profiles() -> None:
     REPORTS["profile_rides"] = over_rides(
         numeric("clean", (*coordinates, "ride_length", "ride_distance", "ride_speed"))
     )
+    day = "date_diff('day', DATE '1970-01-01', date)"
+
+    def as_date(number: str) -> str:
+        return f"CAST(DATE '1970-01-01' + CAST(floor({number}) AS INTEGER) AS DATE)"
+
+    REPORTS["profile_dates"] = over_complete(
+        f"SELECT 'date' AS \"column\", {as_date('min(d)')} AS minimum, "
+        f"{as_date('quantile_cont(d, 0.25)')} AS first_quartile, {as_date('quantile_cont(d, 0.5)')} AS median, "
+        f"{as_date('CAST(sum(d) AS DOUBLE) / count(d)')} AS mean, {as_date('quantile_cont(d, 0.75)')} AS third_quartile, "
+        f"{as_date('max(d)')} AS maximum, CAST(count(*) - count(d) AS BIGINT) AS na_count "
+        f"FROM (SELECT CAST({day} AS DOUBLE) AS d FROM (SELECT CAST(started_at AS DATE) AS date FROM complete))"
+    )
     texts = ("ride_id", "rideable_type", "start_station_name", "end_station_name", "member_casual")
     REPORTS["profile_text"] = over_trips(
         " UNION ALL ".join(

@@ -78,6 +78,18 @@ def profile_numeric(table: DataFrame, columns: Sequence[str] | None = None) -> D
     )
 
 
+def profile_dates(table: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """The numeric profile of date columns; a quartile or mean inside a day is that day."""
+    columns = list(columns or columns_of(table, T.DateType))
+    days = table.select(*[F.unix_date(c).cast("double").alias(c) for c in columns])
+
+    def as_date(name: str) -> Column:
+        return F.date_from_unix_date(F.floor(name).cast("int")).alias(name)
+
+    statistics = ("minimum", *QUARTILE_NAMES[:2], "mean", QUARTILE_NAMES[2], "maximum")
+    return profile_numeric(days).select("column", *[as_date(name) for name in statistics], "na_count")
+
+
 def profile_text(table: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Length, class, missing and blank counts of text columns."""
     return _per_column(

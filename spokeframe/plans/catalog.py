@@ -51,7 +51,7 @@ def trips_calendar(tables: RideTables) -> DataFrame:
 
 
 def trips_ride_length(tables: RideTables) -> DataFrame:
-    return cleaning.add_ride_length(_complete(tables)).select(*IDENTITY, "ride_length")
+    return cleaning.add_ride_length(cleaning.parse_times(_complete(tables))).select(*IDENTITY, "ride_length")
 
 
 def trips_ride_distance(tables: RideTables) -> DataFrame:
@@ -132,6 +132,10 @@ def profile_rides(tables: RideTables) -> DataFrame:
     return profile.profile_numeric(tables.rides())
 
 
+def profile_dates(tables: RideTables) -> DataFrame:
+    return profile.profile_dates(cleaning.add_calendar(cleaning.parse_times(_complete(tables))))
+
+
 def profile_text(tables: RideTables) -> DataFrame:
     return profile.profile_text(tables.trips())
 
@@ -211,6 +215,7 @@ REPORTS: dict[str, Report] = {
     # Profiles and checks
     "profile_numeric": profile_numeric,
     "profile_rides": profile_rides,
+    "profile_dates": profile_dates,
     "profile_text": profile_text,
     "profile_shape": profile_shape,
     "cleaning_audit": cleaning_audit,

@@ -121,3 +121,20 @@ def test_without_a_shared_folder_tables_are_computed_in_place(spark, monkeypatch
     assert store.stored(spark, "s", "numbers", lambda: spark.range(3)).inputFiles() == []
     with pytest.raises(RuntimeError, match="checkpoint"):
         store.new_path(spark, "x")
+
+
+def test_date_profile(spark):
+    table = spark.createDataFrame(
+        [("2022-01-01",), ("2022-01-02",), ("2022-01-04",), (None,)], "d string"
+    ).selectExpr("to_date(d) AS d")
+    found = rows(profile.profile_dates(table))[0]
+    days = {k: str(v) for k, v in found.items() if k not in ("column", "na_count")}
+    assert days == {
+        "minimum": "2022-01-01",
+        "first_quartile": "2022-01-01",
+        "median": "2022-01-02",
+        "mean": "2022-01-02",
+        "third_quartile": "2022-01-03",
+        "maximum": "2022-01-04",
+    }
+    assert found["na_count"] == 1
