@@ -36,7 +36,8 @@ def percent_label(percent: Column) -> Column:
 
 def legend_label(name: Column, count: Column) -> Column:
     """casual, 1234 → ``Casual (1,234)``."""
-    return F.concat(F.initcap(name), F.lit(" ("), thousands(count), F.lit(")"))
+    capital = F.concat(F.upper(F.left(name, F.lit(1))), F.substr(name, F.lit(2)))
+    return F.concat(capital, F.lit(" ("), thousands(count), F.lit(")"))
 
 
 def spaced(name: Column) -> Column:
