@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from .bpe import op5_byte_bpe
 from .exact_dedup import OP1_SQL, op1_exact_dedup
+from .nearest import OP9_SQL, op9_kd_top_k
 from .packing import op10_best_fit_packing
 from .token_files import op2_token_files
+from .url_rules import op7_url_rules
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_files": op2_token_files,
+    "op5_byte_bpe": op5_byte_bpe,
+    "op7_url_rules": op7_url_rules,
+    "op9_kd_top_k": op9_kd_top_k,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL = {"op1_exact_dedup": OP1_SQL}
+ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op9_kd_top_k": OP9_SQL}
