@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op5_byte_bpe
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .languages import op4_language
+from .near_dedup import op3_near_dedup
 from .nearest import OP9_SQL, op9_kd_top_k
 from .packing import op10_best_fit_packing
 from .token_files import op2_token_files
@@ -14,6 +15,7 @@ from .url_rules import op7_url_rules
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_files": op2_token_files,
+    "op3_near_dedup": op3_near_dedup,
     "op4_language": op4_language,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_url_rules": op7_url_rules,
