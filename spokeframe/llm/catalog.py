@@ -8,6 +8,7 @@ from .languages import op4_language
 from .near_dedup import op3_near_dedup
 from .nearest import OP9_SQL, op9_kd_top_k
 from .packing import op10_best_fit_packing
+from .suffix_dedup import op6_suffix_dedup
 from .token_files import op2_token_files
 from .toxicity import op8_toxicity
 from .url_rules import op7_url_rules
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_near_dedup": op3_near_dedup,
     "op4_language": op4_language,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_url_rules": op7_url_rules,
     "op8_toxicity": op8_toxicity,
     "op9_kd_top_k": op9_kd_top_k,

@@ -35,6 +35,10 @@ REMEMBERED = 500_000  #: words whose hash a worker remembers
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _seed(i: int) -> np.uint64:
+    return np.uint64(i * int(_ODD) % (1 << 64))
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -79,7 +83,7 @@ def sketches(sets: list[np.ndarray], bins: int) -> np.ndarray:
             break
         stay = empty[owner]
         elements, owner = elements[stay], owner[stay]
-        value = _mix(elements + np.uint64(i + 1) * _ODD)
+        value = _mix(elements + _seed(i + 1))
         place = owner * bins + (((value >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)).astype(np.int64)
         # The low half orders the shingles of a bin; the round tells where a value comes from.
         value = (_mix(value) & np.uint64(0xFFFFFFFFFFFF)) | (np.uint64(i & 0xFFFF) << np.uint64(48))
@@ -91,7 +95,7 @@ def sketches(sets: list[np.ndarray], bins: int) -> np.ndarray:
         flat = np.concatenate(sets)
         for place in np.flatnonzero(~filled).tolist():
             row, b = divmod(place, bins)
-            value = _mix(flat[begin[row] : begin[row + 1]] + np.uint64(bins + b + 1) * _ODD)
+            value = _mix(flat[begin[row] : begin[row + 1]] + _seed(bins + b + 1))
             out[place] = value.min()
     return out.reshape(-1, bins)
 
