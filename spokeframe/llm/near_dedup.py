@@ -170,10 +170,10 @@ def _block_links(percent: int):
         side = table.column("side").to_numpy()
         own, other = table.column("block").to_numpy(), table.column("other").to_numpy()
         band = table.column("band_number").to_numpy()
-        bands = np.stack(table.column("bands").to_numpy())
-        lists = table.column("shingles").to_pylist()
-        sizes = np.array([len(s) for s in lists])
-        _, dense = np.unique(np.concatenate([np.array(s, np.int64) for s in lists]), return_inverse=True)
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+        lists = table.column("shingles").combine_chunks()
+        sizes = lists.value_lengths().to_numpy()
+        _, dense = np.unique(lists.flatten().to_numpy(), return_inverse=True)
         begin = np.concatenate([[0], np.cumsum(sizes)])
         mark = np.zeros(dense.max() + 1 if len(dense) else 1, bool)
         parent: dict[int, int] = {}
@@ -199,13 +199,12 @@ def _block_links(percent: int):
                 continue
             mark[dense[begin[i] : begin[i + 1]]] = True
             for j in partners.tolist():
-                a, b = root(component[i]), root(component[j])
-                if a == b:
-                    continue
-                common = int(mark[dense[begin[j] : begin[j + 1]]].sum())
+                common = np.count_nonzero(mark[dense[begin[j] : begin[j + 1]]])
                 if 100 * common >= percent * (sizes[i] + sizes[j] - common):
-                    links.append((node[i], node[j]))
-                    parent[max(a, b)] = min(a, b)
+                    a, b = root(component[i]), root(component[j])
+                    if a != b:
+                        links.append((node[i], node[j]))
+                        parent[max(a, b)] = min(a, b)
             mark[dense[begin[i] : begin[i + 1]]] = False
         a, b = zip(*links, strict=True) if links else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
