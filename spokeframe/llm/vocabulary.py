@@ -18,6 +18,11 @@ import numpy as np
 PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 UNCLEAR_SPACE = re.compile(r"[\t\x0b-\r\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 
+#: Letters that are one character however a text is normalised, and lower-cased alike everywhere.
+LATIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Byte-level vocabularies write bytes that print as themselves and the others as letters from 256 on.
+_PRINT = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINT)}
 MARKS = frozenset(".,;:!?")
 PLAIN = re.compile(r" ?[^ \n]+")
 #: Tried in this order; the first serves byte-level vocabularies, the second those that drop white space.
@@ -41,6 +46,22 @@ class Encoder:
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.separator, self.separator_ids = self._separator()
+        self.word_form = self._word_form()
+
+    def _word_form(self):
+        """How a plain word reaches the tokenizer's model, if one of the known ways is this file's."""
+        for form in (lambda w: w, lambda w: w.strip().lower()):
+            words = [" Hello", "hello", " Été", "ñandú", " straße", " WORD"]
+            if [self._model_ids(form(w)) for w in words] == self._ids(words):
+                return form
+        return None
+
+    def _model_ids(self, word: str) -> bytes:
+        if word.isascii():  # letters and at most a leading blank
+            mapped = word.replace(" ", BYTE_LETTERS[32])
+        else:
+            mapped = word.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(mapped)])
 
     def _separator(self) -> tuple[str, np.ndarray]:
         """A string that can stand between two pieces and always has ids of its own."""
@@ -82,7 +103,11 @@ class Encoder:
         words = {cut.get(p, p) for p in new} | {p[-1] for p in cut}
         known = {p: self.memo.get(p) or self.older.get(p) for p in words}
         missing = [p for p in words if known[p] is None]
-        known.update(zip(missing, self._pieces(missing), strict=True))
+        if self.word_form:  # a word of plain letters is one call to the model, without the rest
+            words = [p for p in missing if LATIN.fullmatch(p)]
+            known.update((p, self._model_ids(self.word_form(p))) for p in words)
+            missing = [p for p in missing if known[p] is None]
+        known.update(zip(missing, self._pieces(missing) if missing else [], strict=True))
         return {p: known[cut[p]] + known[p[-1]] if p in cut else known[p] for p in new}
 
     def encode(self, text: str) -> bytes:
