@@ -290,7 +290,7 @@ def _profiles() -> None:
         return " UNION ALL ".join(
             f"SELECT '{c}' AS \"column\", min({c}) AS minimum, quantile_cont({c}, 0.25) AS first_quartile, "
             f"quantile_cont({c}, 0.5) AS median, "
-            f"CAST(sum(CAST(round({c} * 1e8) AS HUGEINT)) AS DOUBLE) / 1e8 / count({c}) AS mean, "
+            f"CAST(printf('%.12e', favg({c})) AS DOUBLE) AS mean, "
             f"quantile_cont({c}, 0.75) AS third_quartile, max({c}) AS maximum, "
             f"CAST(count(*) - count({c}) AS BIGINT) AS na_count FROM {table}"
             for c in columns

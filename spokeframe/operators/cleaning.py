@@ -88,6 +88,19 @@ def add_ride_speed(trips: DataFrame) -> DataFrame:
     return trips.withColumn("ride_speed", round_half_even(speed, 2))
 
 
+DERIVED_COLUMNS = (
+    "date",
+    "month",
+    "day",
+    "year",
+    "day_of_week",
+    "day_index",
+    "ride_length",
+    "ride_distance",
+    "ride_speed",
+)
+
+
 def derive(trips: DataFrame) -> DataFrame:
     """All derived columns, no row removed."""
     for step in (parse_times, add_calendar, add_ride_length, add_ride_distance, add_ride_speed):

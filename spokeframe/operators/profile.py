@@ -8,15 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schema import SOURCE_COLUMNS
 from . import cleaning
+from .cleaning import DERIVED_COLUMNS
 from .keeping import Keep, as_planned
 from .quantiles import exact_quantiles
 
 QUARTILES = (0.25, 0.5, 0.75)
 QUARTILE_NAMES = ("first_quartile", "median", "third_quartile")
-# Means are taken over whole multiples of this, so they do not depend on row order.
-MEAN_UNITS = 1e8
+# Digits of a mean: those beyond depend on the order in which rows are added.
+MEAN_FORMAT = "%.12e"
 
 
 def columns_of(table: DataFrame, kind: type[T.DataType]) -> list[str]:
@@ -58,9 +58,7 @@ def profile_numeric(table: DataFrame, columns: Sequence[str] | None = None) -> D
         table,
         columns,
         minimum=F.min,
-        mean=lambda c: F.sum(F.rint(c * MEAN_UNITS).cast("decimal(20,0)")).cast("double")
-        / MEAN_UNITS
-        / F.count(c),
+        mean=lambda c: F.format_string(MEAN_FORMAT, F.avg(c)).try_cast("double"),
         maximum=F.max,
         na_count=lambda c: F.count_if(c.isNull()),
     )
@@ -183,5 +181,5 @@ def has_duplicate_rows(
 
 
 def has_duplicate_trips(trips: DataFrame, keep: Keep = as_planned) -> DataFrame:
-    """Duplicate check of trips; derived columns follow from these, so they are skipped."""
-    return has_duplicate_rows(trips, SOURCE_COLUMNS, keep)
+    """Duplicate check of trips on all their columns but the derived ones, which follow from these."""
+    return has_duplicate_rows(trips, [c for c in trips.columns if c not in DERIVED_COLUMNS], keep)

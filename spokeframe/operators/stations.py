@@ -173,7 +173,15 @@ def representative_points(rides: DataFrame, side: str, keep: Keep = as_planned)
     station = station_column(side)
     shortest = keep(shortest_rides(rides, side))
     candidates = named(rides, side).withColumn("pick_key", _pick_key())
-    candidates = candidates.join(shortest, [station, "member_casual", "pick_key"], "left_semi")
+    # A missing rider type is a group of its own.
+    names = {station: "of_station", "member_casual": "of_rider", "pick_key": "of_key"}
+    shortest = shortest.withColumnsRenamed(names)
+    is_shortest = (
+        (F.col(station) == F.col("of_station"))
+        & F.col("member_casual").eqNullSafe(F.col("of_rider"))
+        & (F.col("pick_key") == F.col("of_key"))
+    )
+    candidates = candidates.join(shortest, is_shortest, "left_semi")
     ride = F.struct(*PICK_ORDER, F.col(f"{side}_lat").alias("lat"), F.col(f"{side}_lng").alias("lng"))
     per_user = candidates.groupBy(station, "member_casual").agg(F.min(ride).alias("ride"))
     overall = per_user.groupingSets(

@@ -68,7 +68,7 @@ class RideTables:
 
     def keep(self, name: str) -> Keep:
         """Stores the intermediate table of an operator under ``name``."""
-        return lambda table: self.stored(name, lambda: table)
+        return lambda table: self.stored(f"{name}-{table.semanticHash() & 0xFFFFFFFF:08x}", lambda: table)
 
     def trips(self) -> DataFrame:
         """The trip records; stored, as checks and profiles scan them many times.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 MIB = 1024**2
 
@@ -18,8 +18,8 @@ def cluster_settings(input_bytes: int) -> dict[str, str]:
     Scan splits grow with the input so that the cleaned table gets files of a
     useful size and the task count stays manageable.
     """
-    partitions = min(max(200, input_bytes // (512 * MIB)), 50_000)
-    split = min(max(128 * MIB, input_bytes // 200_000), 1024 * MIB)
+    partitions = max(200, input_bytes // (512 * MIB))
+    split = max(128 * MIB, input_bytes // 200_000)
     return {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -50,19 +50,14 @@ def shared_folder(spark: SparkSession) -> str | None:
 
     The session's ``spark.checkpoint.dir`` decides. Only a local-mode session
     without one gets a temporary folder; on a cluster there is none then, and
-    callers compute instead of storing.
+    callers compute instead of storing. A folder of the local disk is refused on a
+    cluster: each executor would write to a disk of its own, and later reads would
+    miss what the others wrote.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured and spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="spokeframe-")
-    return configured or None
-
-
-def spread(table: DataFrame) -> DataFrame:
-    """Use all cores for an input with fewer splits than cores.
-
-    A file with one row group is one task however many cores wait. Such an input
-    is small, so is moving its rows; an input with splits enough is left alone.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+    local = spark.sparkContext.master.startswith("local")
+    if not configured:
+        return tempfile.mkdtemp(prefix="spokeframe-") if local else None
+    if configured.startswith("file:") and not local:
+        raise ValueError(f"spark.checkpoint.dir is {configured}, which executors do not share")
+    return configured

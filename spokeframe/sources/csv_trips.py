@@ -32,7 +32,14 @@ def month_of_path(path: Column) -> Column:
 
 def _reader(spark: SparkSession, multiline: bool):
     # A quote inside a quoted field is doubled; a backslash is an ordinary character.
-    return spark.read.option("header", True).option("escape", '"').option("multiLine", multiline)
+    # Every file's own header is compared with the schema: other columns, or the same in
+    # another order, are an error and not values in the wrong column.
+    return (
+        spark.read.option("header", True)
+        .option("enforceSchema", False)
+        .option("escape", '"')
+        .option("multiLine", multiline)
+    )
 
 
 def normalize_missing(df: DataFrame) -> DataFrame:
@@ -64,7 +71,9 @@ def read_trips(
     """All rows of the given files, columns matched by header name.
 
     Files that share a header are one scan, so twelve months of the same layout
-    are one set of splits rather than twelve. ``source_column`` adds the path
+    are one set of splits rather than twelve. All files of a folder must have the
+    same header, or reading fails; give files with other headers as paths of their
+    own. ``source_column`` adds the path
     each row came from. ``multiline`` allows line breaks inside quotes at the
     price of one task per file.
     """

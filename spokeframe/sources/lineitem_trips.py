@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import SOURCE_COLUMNS
-from ..session import spread
 
 LINEITEM_COLUMNS = (
     "l_orderkey",
@@ -57,7 +56,7 @@ def trips_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     order, part, supplier, line = (
         F.col(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
     )
-    items = spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*LINEITEM_COLUMNS))
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*LINEITEM_COLUMNS)
     helpers = items.select("*", F.rint(F.col("l_extendedprice") * 100.0).cast("bigint").alias("cents"))
     cents = F.col("cents")
     duration = (

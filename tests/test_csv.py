@@ -129,3 +129,15 @@ def test_csv_round_trip(spark, tmp_path):
     write_csv(text, path)
     back = cleaning.parse_times(read_trips(spark, [path])).select(*SOURCE_COLUMNS)
     assert sorted(back.collect()) == sorted(table.collect())
+
+
+def test_a_folder_of_mixed_headers_is_an_error(spark, tmp_path):
+    from spokeframe.schema import SOURCE_COLUMNS
+    from spokeframe.sources import read_trips
+
+    for name, columns in (("a", list(SOURCE_COLUMNS)), ("b", list(reversed(SOURCE_COLUMNS)))):
+        (tmp_path / f"{name}.csv").write_text(",".join(columns) + "\n" + ",".join(f"v{c}" for c in columns) + "\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_trips(spark, [str(tmp_path)]).collect()
+    found = read_trips(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]).collect()
+    assert {(r.start_station_name, r.end_station_name) for r in found} == {("vstart_station_name", "vend_station_name")}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spokeframe.operators import cleaning, measures, profile, quantiles, stations, summaries
 from spokeframe.plans import REPORTS, RideTables
 from spokeframe.schema import SOURCE_COLUMNS
-from spokeframe.session import cluster_settings, spread
+from spokeframe.session import cluster_settings
 
 
 def plan(table) -> str:
@@ -109,17 +109,10 @@ def test_no_report_uses_a_nested_loop_join(tables):
         assert "CartesianProduct" not in text and "NestedLoop" not in text, name
 
 
-def test_spread_leaves_large_inputs_alone(spark):
-    cores = spark.sparkContext.defaultParallelism
-    assert spread(spark.range(10, numPartitions=1)).rdd.getNumPartitions() == cores
-    wide = spark.range(10, numPartitions=cores + 1)
-    assert spread(wide) is wide
-
-
 def test_cluster_settings_grow_with_the_input():
     small, large = cluster_settings(10**9), cluster_settings(100 * 10**12)
     key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-    assert int(small[key]) == 200 and int(large[key]) == 50_000
+    assert int(small[key]) == 200 and int(large[key]) == 100 * 10**12 // (512 * 1024**2)
     assert int(large["spark.sql.files.maxPartitionBytes"]) > int(small["spark.sql.files.maxPartitionBytes"])
 
 
@@ -134,3 +127,24 @@ def test_rows_without_a_repeated_hash_are_not_shuffled(tables, trips):
     keep = tables.keep("repeated_hashes_of_all_trips")
     text = plan(profile.repeated_rows(trips, SOURCE_COLUMNS, keep))
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+
+
+def test_tables_under_one_name_are_told_apart(spark, tables):
+    keep = tables.keep("same_name")
+    assert [keep(spark.range(n)).count() for n in (7, 3)] == [7, 3]
+
+
+def test_a_local_folder_is_refused_on_a_cluster():
+    from types import SimpleNamespace
+
+    from spokeframe.session import shared_folder
+
+    def session(master, folder):
+        conf = SimpleNamespace(get=lambda *_: folder)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+
+    with pytest.raises(ValueError, match="do not share"):
+        shared_folder(session("yarn", "file:///tmp/x"))
+    assert shared_folder(session("yarn", "hdfs://n/x")) == "hdfs://n/x"
+    assert shared_folder(session("local-cluster[2,1,1024]", "file:///tmp/x")) == "file:///tmp/x"
+    assert shared_folder(session("yarn", None)) is None

@@ -138,3 +138,19 @@ def test_date_profile(spark):
         "maximum": "2022-01-04",
     }
     assert found["na_count"] == 1
+
+
+@pytest.mark.parametrize(
+    "values, mean", [((3e-9, 4e-9), 3.5e-9), ((1e12, 2.0), 500000000001.0), ((float("inf"), 2.0), float("inf"))]
+)
+def test_mean_of_any_size(spark, values, mean):
+    table = spark.createDataFrame([(v,) for v in values], "x double")
+    assert rows(profile.profile_numeric(table))[0]["mean"] == mean
+
+
+def test_rows_that_differ_in_an_extra_column_are_no_duplicates(spark):
+    table = trips(spark, trip("a"), trip("a"))
+    numbered = table.selectExpr("*", "monotonically_increasing_id() AS start_station_id")
+    assert rows(profile.has_duplicate_trips(numbered)) == [{"has_duplicates": False}]
+    same = table.selectExpr("*", "1 AS start_station_id")
+    assert rows(profile.has_duplicate_trips(same)) == [{"has_duplicates": True}]

@@ -156,3 +156,19 @@ def test_a_hot_station_agrees_with_brute_force(spark):
     counted = stations.station_counts(rides, "start").agg(F.sum("rides")).first()[0]
     assert counted == len(plain)
     rides.unpersist()
+
+
+def test_missing_rider_types_have_a_shortest_ride_too(spark):
+    from spokeframe.operators.stations import representative_points
+
+    table = spark.createDataFrame(
+        [
+            ("only", None, 20.0, 1.0, 41.1, -87.1),
+            ("mixed", None, 10.0, 1.0, 41.2, -87.2),
+            ("mixed", "member", 15.0, 1.0, 41.3, -87.3),
+        ],
+        "start_station_name string, member_casual string, ride_length double, ride_distance double, "
+        "start_lat double, start_lng double",
+    ).selectExpr("*", "current_timestamp() AS started_at", "'r' AS ride_id", "0D AS end_lat", "0D AS end_lng")
+    points = representative_points(table, "start").where("rider_group = 'all'").collect()
+    assert {r.start_station_name: r.lat for r in points} == {"only": 41.1, "mixed": 41.2}
