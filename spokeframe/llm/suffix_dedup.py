@@ -162,7 +162,7 @@ def _ask(part: int, keys: np.ndarray, key_bits: int, buckets: int) -> pa.Table:
     shift = np.uint64(key_bits - int(math.log2(buckets)))
     bucket = (keys >> shift).astype(np.int64)
     edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(keys) else np.zeros(0, int)
-    ends = np.append(edges[1:], len(keys))
+    ends = np.append(edges, len(keys))[1:]
     out: dict[str, list] = {c: [] for c in ("part", "bucket", "n", "first", "width", "data")}
     for a, b in zip(edges.tolist(), ends.tolist(), strict=True):
         steps = np.diff(keys[a:b])
