@@ -23,8 +23,8 @@ from .tables import column, free_name, read_table
 from .vocabulary import LONGEST, PIECE, UNCLEAR_SPACE, public_path
 
 #: Entries a worker remembers of each kind (pieces of text, pairs of tokens).
-REMEMBERED_PIECES = 600_000
-REMEMBERED_PAIRS = 1_500_000
+REMEMBERED_PIECES = 500_000
+REMEMBERED_PAIRS = 500_000
 
 
 class Bpe:
