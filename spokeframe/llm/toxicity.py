@@ -99,11 +99,15 @@ class Scorer:
 class _Sparse:
     """Rows of bucket counts, for products with weights and the transpose."""
 
-    def __init__(self, rows: list[dict[int, float]], columns: np.ndarray):
-        place = {c: i for i, c in enumerate(columns.tolist())}
-        cells = [(i, place[b], v) for i, row in enumerate(rows) for b, v in row.items() if b in place]
-        self.row, self.col, self.value = (np.array(x) for x in zip(*cells, strict=True)) if cells else (
-            np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], columns: np.ndarray):
+        """Rows are (buckets, values); buckets that are not in the sorted ``columns`` are left out."""
+        none = np.zeros(0, np.int32)
+        bucket = np.concatenate([none, *[b for b, _ in rows]])
+        col = np.searchsorted(columns, bucket).astype(np.int32)
+        stay = columns[np.minimum(col, len(columns) - 1)] == bucket if len(columns) else np.zeros(len(bucket), bool)
+        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(b) for b, _ in rows])[stay]
+        self.col = col[stay]
+        self.value = np.concatenate([np.zeros(0), *[v for _, v in rows]])[stay]
         self.shape = (len(rows), len(columns))
 
     def only(self, columns: np.ndarray) -> _Sparse:
@@ -123,17 +127,17 @@ class _Sparse:
         return np.bincount(self.col, self.value * errors[self.row], minlength=self.shape[1])
 
 
-def _counts(words: set[str]) -> dict[int, float]:
-    found: dict[int, float] = {}
-    for word in words:
-        for bucket in buckets_of(word):
-            found[bucket] = found.get(bucket, 0.0) + 1.0
-    return found
+def _counts(words: set[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words and how many words each is of."""
+    buckets, counts = np.unique(np.array([b for w in words for b in buckets_of(w)], np.int32), return_counts=True)
+    return buckets, counts.astype(float)
 
 
-def _difference(sentence: set[str], swapped: set[str]) -> dict[int, float]:
-    a, b = _counts(sentence), _counts(swapped)
-    return {k: a.get(k, 0.0) - b.get(k, 0.0) for k in a.keys() | b.keys() if a.get(k, 0.0) != b.get(k, 0.0)}
+def _difference(sentence: set[str], swapped: set[str]) -> tuple[np.ndarray, np.ndarray]:
+    (a, x), (b, y) = _counts(sentence), _counts(swapped)
+    buckets, where = np.unique(np.concatenate([a, b]), return_inverse=True)
+    change = np.bincount(where, np.concatenate([x, -y]), minlength=len(buckets))
+    return buckets[change != 0], change[change != 0]
 
 
 def fit(
@@ -161,12 +165,9 @@ def fit(
                 words = words_of(sentence)
                 if not swap.keys().isdisjoint(words):
                     pairs.append(_difference(words, {swap.get(w, w) for w in words}))
-    seen: dict[int, int] = {}
-    for row in rows:
-        for bucket in row:
-            seen[bucket] = seen.get(bucket, 0) + 1
-    in_pairs = {b for pair in pairs for b in pair}
-    columns = np.array(sorted(b for b, n in seen.items() if n >= 3 or b in in_pairs), int)
+    seen, texts_with = np.unique(np.concatenate([b for b, _ in rows]), return_counts=True)
+    in_pairs = [b for b, _ in pairs] or [np.zeros(0, np.int32)]
+    columns = np.union1d(seen[texts_with >= 3], np.concatenate(in_pairs)).astype(np.int32)
     x, d = _Sparse(rows, columns), _Sparse(pairs, columns)
     # Rare features get longer steps and cost less: common words would rule both otherwise.
     square = np.bincount(x.col, x.value**2, minlength=len(columns)) / len(rows)
