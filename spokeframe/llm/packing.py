@@ -4,8 +4,9 @@ Documents are encoded and cut into pieces of at most ``capacity`` ids. Pieces ar
 to groups, and each group is packed by best-fit decreasing. Dual-feasible functions
 bound from below how many sequences a group needs. A group that uses more than its
 bound, or that leaves sequences open, gives the documents of its emptiest sequences to
-the next round, in which fewer groups share what was given and pack it again, until
-one group is left or no more sequences can be saved.
+the next round, in which at most half as many groups share what was given and pack it
+again, until one group is left. What a group gives is at most half of what a group
+packs at once, so no group of any round grows with the input.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from .vocabulary import encoder, public_path
 CAPACITY = 2048
 GROUP_PIECES = 8192  #: pieces that one group packs at once, about
 FAN_IN = 8  #: groups of a round that meet in one group of the next
+STEPS = 32  #: dual-feasible functions by steps that are tried
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
@@ -65,11 +67,13 @@ def pieces(
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
-    """Sequences needed at least, by the best dual-feasible function of a family.
+    """Sequences needed at least, by the best dual-feasible function of two families.
 
     ``counts[n]`` is the number of pieces of length n. For each t up to half the
     capacity, lengths above capacity - t count as a whole sequence, those below t as
-    nothing, the rest by their share. No set that fits a sequence counts more than one.
+    nothing, the rest by their share. For each k, a length counts as the k-th part of
+    the whole multiples of capacity / (k + 1) in it, or by its share where it is such a
+    multiple. No set that fits a sequence counts more than one.
     """
     lengths = np.arange(capacity + 1)
     above = np.concatenate([np.cumsum(counts[::-1])[::-1], [0]])  # above[n]: pieces of n or more
@@ -77,7 +81,12 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     t = np.arange(capacity // 2 + 1)
     whole = above[capacity - t + 1]
     share = area[t] - area[capacity - t + 1]
-    return int(np.max(whole + -(-share // capacity), initial=0))
+    best = int(np.max(whole + -(-share // capacity), initial=0))
+    for k in range(1, STEPS + 1):
+        steps, rest = np.divmod((k + 1) * lengths, capacity)
+        total = int((counts * np.where(rest == 0, k * lengths, capacity * steps)).sum())
+        best = max(best, -(-total // (k * capacity)))
+    return best
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> np.ndarray:
@@ -101,8 +110,8 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
-def _pack_group(capacity: int, last: bool):
-    """Packs one group; ``again`` marks pieces that go on to the next round."""
+def _pack_group(capacity: int, most: int):
+    """Packs one group; ``again`` marks up to ``most`` pieces that go on to the next round."""
 
     def run(table: pa.Table) -> pa.Table:
         order = ("doc_id", "piece", "start", "length", "ids_crc32")
@@ -113,11 +122,13 @@ def _pack_group(capacity: int, last: bool):
         bound = lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
         gap = len(fill) - bound
         again = np.zeros(len(fill), bool)
-        if not last and len(fill):
-            open_bins = fill < capacity
+        if most and len(fill):
+            emptiest = np.argsort(fill, kind="stable")
             if gap == 0:  # certified: only the emptiest bin may still serve others
-                open_bins &= np.arange(len(fill)) == fill.argmin()
-            again = open_bins
+                emptiest = emptiest[:1]
+            emptiest = emptiest[fill[emptiest] < capacity]
+            given = np.cumsum(np.bincount(bins)[emptiest])
+            again[emptiest[given <= most]] = True
         by_bin = np.argsort(bins, kind="stable")
         ends = np.cumsum(lengths[by_bin])
         offset = np.empty(len(lengths), np.int64)
@@ -142,25 +153,24 @@ def packed(items: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP
     """
     total = items.count()
     groups = max(1, -(-total // group_pieces))
-    spread = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups))
+    # By place, not by value, so that rows repeated any number of times are spread too.
+    spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups))
     waiting = items.withColumn("group", spread)
     done: list[DataFrame] = []
-    for round_ in range(64):
-        last = groups == 1
+    while True:
+        most = max(capacity, group_pieces // 2) if groups > 1 else 0
         result = kept(
-            waiting.withColumn("round", F.lit(round_))
+            waiting.withColumn("round", F.lit(len(done)))
             .groupBy("group")
-            .applyInArrow(_pack_group(capacity, last), PIECES + ", group long, sequence_id long, offset long, again boolean"),
+            .applyInArrow(_pack_group(capacity, most), PIECES + ", group long, sequence_id long, offset long, again boolean"),
             "packed",
         )
         done.append(result.where("NOT again").drop("group", "again"))
-        if last:
-            break
         open_ = result.where("again").select("doc_id", "piece", "start", "length", "ids_crc32", "group")
-        left = open_.count()
+        left = open_.count() if groups > 1 else 0
         if not left:
             break
-        groups = min(groups // 2, max(-(-groups // FAN_IN), -(-left // group_pieces)))
+        groups = min(-(-groups // 2), max(-(-groups // FAN_IN), -(-left // group_pieces)))
         waiting = open_.withColumn("group", F.pmod(F.col("group"), F.lit(groups)))
     out = done[0]
     for table in done[1:]:

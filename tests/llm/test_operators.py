@@ -334,6 +334,32 @@ def test_lower_bound_and_best_fit():
         bound = packing.lower_bound(np.bincount(lengths, minlength=101), 100)
         assert fill.max() <= 100 and -(-lengths.sum() // 100) <= bound <= len(fill) <= 1.2 * bound
     assert packing.lower_bound(np.bincount([60] * 7, minlength=101), 100) == 7
+    # Two of a length above a third fill a sequence: the steps certify it, the area doesn't.
+    assert packing.lower_bound(np.bincount([34] * 9, minlength=101), 100) == 5
+    assert packing.lower_bound(np.bincount([50] * 9, minlength=101), 100) == 5
+
+
+def test_packing_exchanges_a_bounded_part_of_repeated_rows(spark, monkeypatch):
+    row = (1, 0, 0, 34, 5)
+    items = spark.createDataFrame([row] * 400 + [(k, 0, 0, 29, 5) for k in range(400)], packing.PIECES)
+    sizes = []
+    pack = packing._pack_group
+
+    def noted(capacity, most):
+        sizes.append(most)
+        return pack(capacity, most)
+
+    monkeypatch.setattr(packing, "_pack_group", noted)
+    found = packing.packed(items, 100, group_pieces=200).collect()
+    assert sizes[-1] == 0 and all(m == 100 for m in sizes[:-1])
+    assert Counter((r.doc_id, r.length) for r in found) == Counter((r.doc_id, r.length) for r in items.collect())
+    fills = Counter()
+    for r in sorted(found, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == fills[r.sequence_id]
+        fills[r.sequence_id] += r.length
+    assert max(fills.values()) <= 100
+    bound = packing.lower_bound(np.bincount([r.length for r in found], minlength=101), 100)
+    assert bound <= len(fills) <= bound * 1.05
 
 
 def test_packing(docs):
