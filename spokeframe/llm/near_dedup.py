@@ -271,11 +271,13 @@ def classes(
         "band_number", "band", "node", F.coalesce("label", "node").alias("component")
     )
     sizes = named.groupBy("band_number", "band", "component").agg(F.count("*").alias("m"))
-    open_ = (
+    # Stored, so that the join with it is broadcast or split at hot buckets.
+    open_ = kept(
         sizes.groupBy("band_number", "band")
         .agg(F.max(F.struct("m", "component")).alias("most"), F.sum("m").alias("n"), F.count("*").alias("parts"))
         .where("parts > 1")
-        .select("band_number", "band", F.col("most.component").alias("main"), F.col("most.m").alias("m"), "n")
+        .select("band_number", "band", F.col("most.component").alias("main"), F.col("most.m").alias("m"), "n"),
+        "open_buckets",
     )
     # Members of the largest component are settled: compared with the others, not among themselves.
     loose_blocks = F.ceil((F.col("n") - F.col("m")) / BLOCK).cast("int")
