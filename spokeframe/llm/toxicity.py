@@ -29,7 +29,7 @@ SPARSE_AGAIN = 1e-5  #: ... and when the chosen ones are fitted again
 FAIR = 1.0  #: weight of the squared score change under swaps
 STEPS, STEPS_AGAIN = 100, 600
 FLOOR = 0.01  #: added to a feature's mean square before its root scales it down
-REMEMBERED = 500_000  #: words whose weight a worker remembers
+REMEMBERED = 100_000  #: words whose weight a worker remembers
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[.!?\n]+")
 
@@ -252,18 +252,18 @@ def scored(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> Dat
     NULL counts as empty; an empty text gets the score of no words. New columns are
     lengthened where the table has such names. Rows stay, repeated ones too.
     """
-    names = [free_name(docs, n) for n in ("score", "predicted")]
+    score, predicted = (free_name(docs, n) for n in ("score", "predicted"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # Only scores come back from Python; the rows wait in the JVM meanwhile.
+    @F.arrow_udf("double")
+    def score_of(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(model)
-        for batch in batches:
-            text = batch.column(batch.schema.get_field_index(text_col))
-            score = np.array([scorer.score(t.as_py() or "") for t in text], float)
-            added = [pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32), pa.int32())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *names])
-
-    kinds = zip(names, (F.lit(0.0), F.lit(0)), strict=True)
-    return docs.mapInArrow(run, docs.select("*", *[v.alias(n) for n, v in kinds]).schema)
+        for part in parts:
+            yield pa.array([scorer.score(t.as_py() or "") for t in part], pa.float64())
+
+    # Called nondeterministic so that a filter on the verdict does not score again.
+    found = docs.select("*", score_of.asNondeterministic()(column(text_col)).alias(score))
+    return found.select("*", (F.col(score) >= 0.5).cast("int").alias(predicted))
 
 
 def learned(spark: SparkSession, sf_dir: str, docs: DataFrame) -> ToxicityModel:
