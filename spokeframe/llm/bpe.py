@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .tables import column, free_name, read_table
 from .vocabulary import LONGEST, PIECE, UNCLEAR_SPACE, public_path
+from .workers import remembered
 
 #: Entries a worker remembers of each kind (pieces of text, pairs of tokens).
 REMEMBERED_PIECES = 500_000
@@ -142,7 +142,7 @@ class Bpe:
         return b"".join([bytes_of[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
-@lru_cache(maxsize=2)
+@remembered(maxsize=2)
 def bpe(path: str, pattern: str) -> Bpe:
     """One per worker process and rank file."""
     return Bpe(path, pattern)

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .tables import column, free_name, kept, read_table
+from .workers import forget
 
 WORDS = 5
 BANDS, ROWS = 24, 4  #: sets of similarity 0.85 share no band with a chance of 2e-8, of 0.8 with 3e-6
@@ -115,6 +116,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, bands: i
     """id, n_shingles, set_key (128 bits of the whole set) and bands of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         shingles = Shingles(words)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
@@ -140,6 +142,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, w
     """node and shingles of the classes in ``wanted`` (node, id, set_key)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         shingles = Shingles(words)
         for batch in batches:
             found = []

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .tables import column, kept, read_table
 from .vocabulary import encoder, public_path
+from .workers import forget
 
 CAPACITY = 2048
 GROUP_PIECES = 8192  #: pieces that one group packs at once, about
@@ -45,6 +46,7 @@ def pieces(
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(encoder)
         tokens = encoder(vocabulary)
         end = np.array([end_id], "<u4").tobytes()
         step = 4 * capacity

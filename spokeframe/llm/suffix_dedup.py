@@ -29,7 +29,6 @@ import hashlib
 import math
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +39,7 @@ from pyspark.sql import functions as F
 from ..plans.store import new_path
 from .bitpack import pack, unpack
 from .tables import column, kept, read_table, shuffle_partitions
+from .workers import forget, remembered
 
 WINDOW = 100
 #: A perfect difference set: every residue modulo 57 but 0 is the difference of one pair.
@@ -56,7 +56,7 @@ REPLIES = "part long, kind int, bucket long, n long, data binary"
 ASKED = "part long, bucket long, n long, first binary, width int, data binary"
 
 
-@lru_cache(maxsize=4)
+@remembered(maxsize=4)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
     inverse[0] = 1
@@ -225,6 +225,7 @@ def _cut_into_parts(part_bytes: int, window: int):
     """Adds part, seq and the digest of texts long enough to be repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         shard = TaskContext.get().partitionId()
         part = seq = size = 0
         for batch in batches:

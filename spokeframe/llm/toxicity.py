@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .samples import stratified
 from .tables import column, fold, free_name, read_table
+from .workers import forget
 
 PER_CLASS = 2000  #: labelled documents of each class that the model is fitted on, about
 BUCKETS = 1 << 20
@@ -257,6 +258,7 @@ def scored(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> Dat
     # Only scores come back from Python; the rows wait in the JVM meanwhile.
     @F.arrow_udf("double")
     def score_of(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        forget()
         scorer = Scorer(model)
         for part in parts:
             yield pa.array([scorer.score(t.as_py() or "") for t in part], pa.float64())

@@ -11,10 +11,11 @@ from __future__ import annotations
 
 import os
 import re
-from functools import lru_cache
 
 import numpy as np
 
+from .workers import remembered
+
 PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 UNCLEAR_SPACE = re.compile(r"[\t\x0b-\r\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 
@@ -133,7 +134,7 @@ class Encoder:
         return ids
 
 
-@lru_cache(maxsize=2)
+@remembered(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One per worker process and file."""
     return Encoder(path)
