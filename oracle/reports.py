@@ -244,15 +244,17 @@ def _stations() -> None:
             for side in ("start", "end")
         )
     )
-    REPORTS["station_concentration"] = over_rides(
-        f"SELECT member_casual, stations, rides, top_rides, {rounded('(top_rides / CAST(rides AS DOUBLE) * 100e0)', 2)} "
-        f"AS top_percent FROM (SELECT member_casual, {N} AS stations, CAST(sum(n) AS BIGINT) AS rides, "
-        "CAST(sum(n) FILTER (pos <= 10) AS BIGINT) AS top_rides FROM (SELECT *, row_number() OVER "
-        "(PARTITION BY member_casual ORDER BY n DESC, start_station_name) AS pos FROM (SELECT member_casual, "
-        "start_station_name, count(*) AS n FROM clean WHERE start_station_name <> '' "
-        "GROUP BY member_casual, start_station_name)) GROUP BY member_casual)"
-    )
+    for side, report in (("start", "station_concentration"), ("end", "end_station_concentration")):
+        REPORTS[report] = over_rides(
+            f"SELECT member_casual, stations, rides, top_rides, {rounded('(top_rides / CAST(rides AS DOUBLE) * 100e0)', 2)} "
+            f"AS top_percent FROM (SELECT member_casual, {N} AS stations, CAST(sum(n) AS BIGINT) AS rides, "
+            "CAST(sum(n) FILTER (pos <= 10) AS BIGINT) AS top_rides FROM (SELECT *, row_number() OVER "
+            f"(PARTITION BY member_casual ORDER BY n DESC, {side}_station_name) AS pos FROM (SELECT member_casual, "
+            f"{side}_station_name, count(*) AS n FROM clean WHERE {side}_station_name <> '' "
+            f"GROUP BY member_casual, {side}_station_name)) GROUP BY member_casual)"
+        )
 
+    # The row limits of the map tables.
     for table, side, user, limit, lat, lng in (
         ("rides_started_station", "start", None, 554, "start_lat", "start_lng"),
         ("rides_ended_station", "end", None, 541, "end_lat", "end_lng"),
@@ -316,7 +318,7 @@ def _profiles() -> None:
     texts = ("ride_id", "rideable_type", "start_station_name", "end_station_name", "member_casual")
     REPORTS["profile_text"] = over_trips(
         " UNION ALL ".join(
-            f"SELECT '{c}' AS \"column\", {N} AS length, 'character' AS class, "
+            f"SELECT '{c}' AS \"column\", {N} AS length, 'character' AS class, 'character' AS mode, "
             f"CAST(count(*) - count({c}) AS BIGINT) AS na_count, "
             f"CAST(count(*) FILTER ({c} = '') AS BIGINT) AS blank_count FROM trips"
             for c in texts
@@ -355,6 +357,13 @@ def _profiles() -> None:
         )
         + f" AS rows_maintenance_end, CAST(count(*) FILTER ({KEPT}) AS BIGINT) AS rows_clean FROM derived"
     )
+    lost_name, lost_place = "day(started_at) % 4 = 0", "(day(started_at) % 5 < 2 OR end_lat IS NULL)"
+    REPORTS["missing_value_rule"] = over_trips(
+        f"SELECT count(*) AS rows, count(*) FILTER ({lost_name}) AS missing_names, "
+        "count(*) FILTER (day(started_at) % 4 IN (1, 2) OR (day(started_at) % 4 = 3 AND start_station_name = '')) AS blank_names, "
+        f"count(*) FILTER ({lost_place}) AS missing_latitudes, "
+        f"count(*) FILTER (NOT ({lost_name}) AND NOT {lost_place} AND end_lng IS NOT NULL) AS complete_rows FROM trips"
+    )
     REPORTS["has_duplicate_rows"] = over_complete(
         "SELECT count(*) > 0 AS has_duplicates FROM "
         f"(SELECT 1 FROM complete GROUP BY {SOURCE_COLUMNS} HAVING count(*) > 1)"

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from . import cleaning
 from .cleaning import DERIVED_COLUMNS
@@ -92,24 +93,57 @@ def profile_numeric(table: DataFrame, columns: Sequence[str] | None = None) -> D
 
 
 def profile_dates(table: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """The numeric profile of date columns; a quartile or mean inside a day is that day."""
-    columns = list(columns or columns_of(table, T.DateType))
-    days = table.select(*[F.unix_date(c).cast("double").alias(c) for c in columns])
-
-    def as_date(name: str) -> Column:
-        return F.date_from_unix_date(F.floor(name).cast("int")).alias(name)
+    """The numeric profile of date columns; a quartile or mean inside a day is that day.
 
-    statistics = ("minimum", *QUARTILE_NAMES[:2], "mean", QUARTILE_NAMES[2], "maximum")
-    return profile_numeric(days).select("column", *[as_date(name) for name in statistics], "na_count")
+    One scan: rows are counted per day first, and all statistics are read off the counts,
+    of which there are as many as the calendar has days.
+    """
+    columns = list(columns or columns_of(table, T.DateType))
+    days = table.select(*[F.unix_date(c).cast("bigint").alias(c) for c in columns])
+    counted = long_form(days).groupBy("column", "value").agg(F.count(F.lit(1)).alias("rows"))
+    day, filled = F.col("value"), F.when(F.col("value").isNotNull(), F.col("rows"))
+    same = Window.partitionBy("column")
+    running = same.orderBy(F.asc_nulls_last("value")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counted.withColumns({"n": F.sum(filled).over(same), "upto": F.sum("rows").over(running)})
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("upto") - F.col("rows") <= rank) & (rank < F.col("upto")), day))
+
+    def quantile(prob: float) -> Column:
+        position = (F.col("n") - 1) * F.lit(prob)
+        share = F.first(position - F.floor(position))
+        return (1.0 - share) * at(F.floor(position)) + share * at(F.ceil(position))
+
+    def as_date(number: Column, name: str) -> Column:
+        return F.date_from_unix_date(F.floor(number).cast("int")).alias(name)
+
+    first, median, third = (as_date(quantile(p), name) for p, name in zip(QUARTILES, QUARTILE_NAMES))
+    found = ranked.groupBy("column").agg(
+        as_date(F.min(day), "minimum"),
+        first,
+        median,
+        as_date(F.sum(day * F.col("rows")) / F.sum(filled), "mean"),
+        third,
+        as_date(F.max(day), "maximum"),
+        F.coalesce(F.sum(F.when(day.isNull(), F.col("rows"))), F.lit(0)).alias("na_count"),
+    )
+    # One row per column, also where the table is empty.
+    names = F.posexplode(F.array(*[F.lit(c) for c in columns])).alias("position", "name")
+    listed = table.sparkSession.range(1).select(names)
+    return listed.join(found, F.col("position") == F.col("column"), "left").select(
+        F.col("name").alias("column"),
+        *found.columns[1:-1],
+        F.coalesce("na_count", F.lit(0)).cast("bigint").alias("na_count"),
+    )
 
 
 def profile_text(table: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Length, class, missing and blank counts of text columns."""
+    """Length, class, mode, missing and blank counts of text columns."""
     return _per_column(
         table,
         columns or columns_of(table, T.StringType),
         length=lambda c: F.count(F.lit(1)),
-        **{"class": lambda c: F.lit("character")},
+        **{"class": lambda c: F.lit("character"), "mode": lambda c: F.lit("character")},
         na_count=lambda c: F.count_if(c.isNull()),
         blank_count=lambda c: F.count_if(c == ""),
     )

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import charts, cleaning, profile, stations, summaries
-from ..schema import RIDE_COLUMNS, SOURCE_COLUMNS
-from ..sinks import write_ranked_csv
+from ..schema import RIDE_COLUMNS, SOURCE_COLUMNS, TIME_COLUMNS
+from ..sinks import write_csv, write_ranked_csv
 from ..sources import append_all, month_of_path, read_trips
+from .store import written_once
 from .tables import RideTables
 
 Report = Callable[[RideTables], DataFrame]
@@ -45,6 +48,33 @@ def trips_drop_na(tables: RideTables) -> DataFrame:
     return _complete(tables).select(*SOURCE_COLUMNS)
 
 
+def missing_value_rule(tables: RideTables) -> DataFrame:
+    """What is missing or blank in trips written as CSV with ``NA``, blank and quoted blank fields."""
+    day = F.dayofmonth("started_at")
+    latitude = F.col("end_lat").cast("string")
+    marked = tables.trips().withColumns(
+        {
+            # NULL is written as a blank, an empty text as a quoted blank.
+            "start_station_name": F.when(day % 4 == 0, "NA")
+            .when(day % 4 == 1, "")
+            .when(day % 4 == 3, F.col("start_station_name")),
+            "end_lat": F.when(day % 5 == 0, "NA").when(day % 5 == 1, "").otherwise(latitude),
+            **{c: F.col(c).cast("string") for c in TIME_COLUMNS},
+        }
+    )
+    path, _ = written_once(tables.spark, tables.source, "marked_csv", lambda p: write_csv(marked, p))
+    back = read_trips(tables.spark, [path])
+    complete = reduce(and_, [cleaning.is_present(back, c) for c in SOURCE_COLUMNS])
+    name = F.col("start_station_name")
+    return back.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(name.isNull()).alias("missing_names"),
+        F.count_if(name == "").alias("blank_names"),
+        F.count_if(F.col("end_lat").isNull()).alias("missing_latitudes"),
+        F.count_if(complete).alias("complete_rows"),
+    )
+
+
 def trips_calendar(tables: RideTables) -> DataFrame:
     text = cleaning.drop_incomplete(read_trips(tables.spark, tables.month_files()))
     dated = cleaning.add_calendar(cleaning.parse_times(text))
@@ -101,7 +131,7 @@ def _map_table_csv(name: str) -> Report:
     def report(tables: RideTables) -> DataFrame:
         table = _map_table(**options)(tables)
         order = stations.busiest_order(options["side"])
-        return tables.csv_round_trip(name, table, lambda t, path: write_ranked_csv(t, path, order))
+        return tables.csv_round_trip(name, table, lambda t, path: write_ranked_csv(t, path, order, options["max_rows"]))
 
     return report
 
@@ -162,6 +192,7 @@ REPORTS: dict[str, Report] = {
     # Sources, cleaning, derived columns
     "trips_by_month_file": trips_by_month_file,
     "trips_union_all": trips_union_all,
+    "missing_value_rule": missing_value_rule,
     "trips_drop_na": trips_drop_na,
     "trips_calendar": trips_calendar,
     "trips_ride_length": trips_ride_length,
@@ -202,6 +233,7 @@ REPORTS: dict[str, Report] = {
     "top_n_with_ties": top_n_with_ties,
     "station_cardinality": station_cardinality,
     "station_concentration": _from_counts("start", stations.station_concentration),
+    "end_station_concentration": _from_counts("end", stations.station_concentration),
     # Station tables for the map, with the fixed limits, a binding limit and the stated rule
     **{name: _map_table(**options) for name, options in stations.MAP_TABLES.items()},
     **{
@@ -257,4 +289,5 @@ def write_map_tables(tables: RideTables, folder: str) -> None:
     """Write the six station tables as CSV for a mapping tool."""
     for name, options in stations.MAP_TABLES.items():
         table = _map_table(**options)(tables)
-        write_ranked_csv(table, f"{folder.rstrip('/')}/{name}", stations.busiest_order(options["side"]))
+        order = stations.busiest_order(options["side"])
+        write_ranked_csv(table, f"{folder.rstrip('/')}/{name}", order, options["max_rows"])

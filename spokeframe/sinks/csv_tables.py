@@ -11,13 +11,13 @@ from pyspark.sql.window import Window
 ROW_NUMBER = "row_number"
 
 
-def write_ranked_csv(table: DataFrame, path: str, order: Sequence[Column], mode: str = "errorifexists") -> None:
-    """Write a small, already limited table as one CSV file led by a row number.
+def write_ranked_csv(table: DataFrame, path: str, order: Sequence[Column], rows: int, mode: str = "errorifexists") -> None:
+    """Write the first ``rows`` rows as one CSV file led by a row number.
 
-    For report tables whose row count is fixed by a limit; numbering rows brings
-    them together in one task. Use :func:`write_csv` for anything else.
+    Numbering brings them together in one task, so the limit must be a small one.
+    Use :func:`write_csv` for a whole table.
     """
-    numbered = table.select(F.row_number().over(Window.orderBy(*order)).alias(ROW_NUMBER), "*")
+    numbered = table.orderBy(*order).limit(rows).select(F.row_number().over(Window.orderBy(*order)).alias(ROW_NUMBER), "*")
     write_csv(numbered.coalesce(1).sortWithinPartitions(ROW_NUMBER), path, mode)
 
 

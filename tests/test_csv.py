@@ -116,7 +116,7 @@ def test_line_breaks_inside_quotes(spark, tmp_path):
 def test_ranked_csv(spark, tmp_path):
     table = spark.createDataFrame([("b", 5), ("a", 5), ("c", 9)], "name string, total bigint").repartition(3)
     path = str(tmp_path / "out")
-    write_ranked_csv(table, path, [F.desc("total"), F.asc("name")])
+    write_ranked_csv(table, path, [F.desc("total"), F.asc("name")], rows=3)
     back = spark.read.option("header", True).csv(path)
     assert back.columns[0] == ROW_NUMBER
     assert [tuple(r) for r in back.collect()] == [("1", "c", "9"), ("2", "a", "5"), ("3", "b", "5")]
