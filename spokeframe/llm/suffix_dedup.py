@@ -19,8 +19,10 @@ order of suffixes is needed no deeper than that, and only as classes of equal on
 
 A fingerprint in a part counts once however often it occurs there, so a line that
 stands in every document is one entry per part. Buckets are bounded by the number of
-distinct fingerprints, which Spark spreads evenly. Fingerprints have 64 bits: with n
-windows that go on, the chance of any false match is below n**2 / 2**65.
+distinct fingerprints, which Spark spreads evenly. A window's fingerprint has 128 bits,
+two independent ones of 64: with n windows that go on, the chance of any false match is
+about n**2 / 2**129 (see the README for windows that are rearrangements of each other).
+The sample's keys are one fingerprint, shortened.
 """
 
 from __future__ import annotations
@@ -50,39 +52,56 @@ BUCKET_KEYS = 1 << 21  #: distinct fingerprints of a bucket, about
 BLOCK = 1 << 20  #: positions fingerprinted at once
 SAMPLE_SLACK_BITS = 13  #: beyond the logarithm of the input; a false rank only sends a window on
 
-_BASE = 0x9E3779B97F4A7C13
-_BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Of the two fingerprints: an odd base, and what each byte stands for (any 64 bits, so that no bit of a sum is fixed).
+_BASE = (0x9E3779B97F4A7C13, 0xD1342543DE82EF95)
+_BYTE = np.random.default_rng(20).integers(0, 1 << 64, (2, 256), dtype=np.uint64)
 REPLIES = "part long, kind int, bucket long, n long, data binary"
-ASKED = "part long, bucket long, n long, first binary, width int, data binary"
+ASKED = "part long, bucket long, n long, first binary, width int, data binary, second binary"
 
 
 @remembered(maxsize=4)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
+def _powers(size: int, which: int) -> tuple[np.ndarray, np.ndarray]:
+    inverse = np.full(size, pow(_BASE[which], -1, 1 << 64), np.uint64)
     inverse[0] = 1
-    forward = np.full(size, _BASE, np.uint64)
+    forward = np.full(size, _BASE[which], np.uint64)
     forward[0] = 1
     return np.cumprod(inverse), np.cumprod(forward)
 
 
-def fingerprints(data: np.ndarray, length: int) -> np.ndarray:
-    """A 64-bit fingerprint of the ``length`` bytes at each place that has as many."""
-    places = max(0, len(data) - length + 1)
-    out = np.empty(places, np.uint64)
-    inverse, forward = _powers(BLOCK + length)
-    for at in range(0, places, BLOCK):
-        count = min(BLOCK, places - at)
-        terms = _BYTE[data[at : at + count + length - 1]]
+def fingerprints(data: np.ndarray, length: int, places: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit fingerprint, one of two, of the ``length`` bytes at each of the sorted ``places``."""
+    out = np.empty(len(places), np.uint64)
+    inverse, forward = _powers(BLOCK + length, which)
+    for at in range(0, max(0, len(data) - length + 1), BLOCK):
+        a, b = np.searchsorted(places, (at, at + BLOCK)).tolist()
+        if a == b:
+            continue
+        here = places[a:b] - at
+        terms = _BYTE[which][data[at : at + BLOCK + length - 1]]
         terms *= inverse[: len(terms)]
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms)])
-        value = (sums[length:] - sums[:-length]) * forward[:count]
+        value = (sums[here + length] - sums[here]) * forward[here]
         value ^= value >> np.uint64(29)
         value *= np.uint64(0xBF58476D1CE4E5B9)
         value ^= value >> np.uint64(32)
-        out[at : at + count] = value
+        out[a:b] = value
     return out
 
 
+def _order(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stable order of pairs, and which of them in that order equal the pair before."""
+    order = np.argsort(first, kind="stable")
+    a, b = first[order], second[order]
+    same = a[1:] == a[:-1]
+    other = b[1:] != b[:-1]
+    if (same & other).any():  # one first fingerprint with two second ones
+        order = np.lexsort((second, first))
+        a, b = first[order], second[order]
+        same = a[1:] == a[:-1]
+        other = b[1:] != b[:-1]
+    return order, np.concatenate([np.zeros(min(1, len(first)), bool), same & ~other])
+
+
 class _Part:
     """The bytes of a part's documents, and which windows of them go on."""
 
@@ -125,11 +144,11 @@ class _Part:
             if a < b:
                 chosen[a:b] &= np.resize(in_cover, b - a)
         places = np.flatnonzero(chosen)
-        keys = fingerprints(self.data, length)[places] >> np.uint64(64 - self.settings["sample_bits"])
+        keys = fingerprints(self.data, length, places) >> np.uint64(64 - self.settings["sample_bits"])
         return places, keys
 
-    def going_on(self) -> tuple[np.ndarray, np.ndarray]:
-        """Windows that reach a repeated stretch of the sample, and their fingerprints."""
+    def going_on(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows that reach a repeated stretch of the sample, and their two fingerprints."""
         window = self.settings["window"]
         places, keys = self.sample()
         distinct, where, count = np.unique(keys, return_inverse=True, return_counts=True)
@@ -142,35 +161,32 @@ class _Part:
         np.add.at(reach, np.maximum(hits - PERIOD + 1, 0), 1)
         np.add.at(reach, hits + 1, -1)
         candidates = np.flatnonzero((np.cumsum(reach[: len(ok)]) > 0) & ok)
-        return candidates, fingerprints(self.data, window)[candidates] if len(candidates) else np.zeros(0, np.uint64)
+        return candidates, *(fingerprints(self.data, window, candidates, which) for which in (0, 1))
 
     def repeated_starts(self) -> np.ndarray:
         """Windows whose bytes also start earlier."""
-        places, keys = self.going_on()
-        order = np.argsort(keys, kind="stable")
-        ordered = keys[order]
-        new = np.ones(len(ordered), bool)
-        new[1:] = ordered[1:] != ordered[:-1]
-        repeated = ~new
+        places, first, second = self.going_on()
+        order, repeated = _order(first, second)
         if 2 in self.bits:
-            repeated[new] |= self.bits[2]
+            repeated[~repeated] = self.bits[2]
         return places[order[repeated]]
 
 
-def _ask(part: int, keys: np.ndarray, key_bits: int, buckets: int) -> pa.Table:
-    """Distinct sorted keys as rows per bucket: the first key, then packed differences."""
+def _ask(part: int, keys: np.ndarray, key_bits: int, buckets: int, second: np.ndarray | None = None) -> pa.Table:
+    """Distinct sorted keys as rows per bucket: the first key, then packed differences; second fingerprints as they are."""
     shift = np.uint64(key_bits - int(math.log2(buckets)))
     bucket = (keys >> shift).astype(np.int64)
     edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(keys) else np.zeros(0, int)
     ends = np.append(edges, len(keys))[1:]
-    out: dict[str, list] = {c: [] for c in ("part", "bucket", "n", "first", "width", "data")}
+    out: dict[str, list] = {c: [] for c in ("part", "bucket", "n", "first", "width", "data", "second")}
     for a, b in zip(edges.tolist(), ends.tolist(), strict=True):
         steps = np.diff(keys[a:b])
         width = max(1, int(steps.max()).bit_length()) if len(steps) else 1
-        row = (part, int(bucket[a]), b - a, keys[a : a + 1].tobytes(), width, pack(steps, width))
+        rest = None if second is None else second[a:b].tobytes()
+        row = (part, int(bucket[a]), b - a, keys[a : a + 1].tobytes(), width, pack(steps, width), rest)
         for c, v in zip(out, row, strict=True):
             out[c].append(v)
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary())
     return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), types, strict=True)})
 
 
@@ -201,10 +217,11 @@ def _answer(kind: int):
         sizes = [len(k) for k in asked]
         keys = np.concatenate(asked)
         del asked
-        order = np.argsort(keys, kind="stable")  # equal keys stay in the order of their parts
-        keys = keys[order]
-        same = np.zeros(len(keys) + 1, bool)
-        same[1:-1] = keys[1:] == keys[:-1]
+        second = np.zeros(len(keys), np.uint64)
+        if kind == 2:
+            second = np.concatenate([np.frombuffer(x.as_buffer(), "<u8") for x in table.column("second")])
+        order, equal = _order(keys, second)  # equal keys stay in the order of their parts
+        same = np.append(equal, False)
         flag = np.empty(len(keys), bool)
         flag[order] = same[:-1] | same[1:] if kind == 1 else same[:-1]
         parts = np.split(flag, np.cumsum(sizes)[:-1])
@@ -337,7 +354,10 @@ def repeated_removed(
 
     def ask_windows(rows: pa.Table, told: pa.Table) -> pa.Table:
         part = _Part(rows, told, settings)
-        return _ask(rows.column("part")[0].as_py(), np.unique(part.going_on()[1]), 64, buckets)
+        _, first, second = part.going_on()
+        order, again = _order(first, second)
+        order = order[~again]
+        return _ask(rows.column("part")[0].as_py(), first[order], 64, buckets, second[order])
 
     asked = with_parts(replies, ask_windows, ASKED)
     earlier = kept(asked.groupBy("bucket").applyInArrow(_answer(2), REPLIES), "earlier")

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -259,6 +260,41 @@ def test_suffix_dedup_agrees_with_brute_force(spark, docs, part_bytes):
     assert kept.columns == docs.columns and kept.count() == len(TEXTS)
 
 
+def test_suffix_dedup_does_not_trust_one_fingerprint(monkeypatch):
+    """Windows of which one fingerprint agrees by chance are not taken as equal."""
+    rng = np.random.default_rng(6)
+    words = rng.integers(97, 123, (12, 160), dtype=np.uint8).tobytes().decode("ascii")
+    rows = [(i, words[160 * i : 160 * i + 160] + PASSAGE) for i in range(12)]
+    weak = suffix_dedup.fingerprints
+
+    def few_bits(*args):
+        found = weak(*args)
+        return found if args[1] != 100 or args[3:] == (1,) else found & np.uint64(0xF << 60)
+
+    monkeypatch.setattr(suffix_dedup, "fingerprints", few_bits)
+    text = pa.array([t for _, t in rows])
+    table = pa.table({"seq": pa.array(range(12), pa.int32()), "text": text})
+    none = pa.table({"kind": [], "bucket": [], "n": [], "data": []})
+    part = suffix_dedup._Part(table, none, {"window": 100, "sample_bits": 40})
+    gone = np.zeros(len(part.data), bool)
+    for start in part.repeated_starts().tolist():
+        gone[start : start + 100] = True
+    want = [[False] * len(t) for _, t in rows]
+    for flags, spans in zip(want, brute_spans(rows), strict=True):
+        for a, b in spans:
+            flags[a:b] = [True] * (b - a)
+    assert gone.tolist() == sum(want, [])
+
+    # Between parts: the same first fingerprint asked about with equal and with other second ones.
+    key, other = np.array([5], np.uint64), np.array([6], np.uint64)
+    asked = [suffix_dedup._ask(p, key, 64, 16, s) for p, s in enumerate((key, other, key))]
+    told = suffix_dedup._answer(2)(pa.concat_tables(asked))
+    assert [d[0] >> 7 for d in told.column("data").to_pylist()] == [0, 0, 1]
+
+    # No bit of a fingerprint's sum is fixed: tables hold odd and even numbers.
+    assert {int(x) & 1 for x in suffix_dedup._BYTE[0]} == {int(x) & 1 for x in suffix_dedup._BYTE[1]} == {0, 1}
+
+
 def test_characters_are_not_cut():
     raw = "aéb".encode()
     assert suffix_dedup.without_spans(raw, [{"start": 0, "end": 2}]) == "éb"
