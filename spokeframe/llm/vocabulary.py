@@ -4,7 +4,9 @@ A tokenizer that splits before merging gives a text's pieces between white space
 ids that don't depend on what surrounds them. So a text is cut before each run of
 blanks and line ends, every distinct piece goes through the library once, and the
 text's ids are those of its pieces in a row. Texts with other white space or
-separators (about which libraries disagree) go through the library whole.
+separators (about which libraries disagree) go through the library whole, and so do
+texts that hold a token the file adds to the model's, such as ``<|endoftext|>``: the
+library finds those in the text before anything else, also inside words.
 """
 
 from __future__ import annotations
@@ -42,13 +44,18 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = self._added()
         self.size = self.tokenizer.get_vocab_size()
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.separator, self.separator_ids = self._separator()
         self.word_form = self._word_form()
 
+    def _added(self) -> list[str]:
+        """Strings of which one is in every text that holds an added token; the empty one if that is unclear."""
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        return sorted("" if t.normalized else t.content for t in added)
+
     def _word_form(self):
         """How a plain word reaches the tokenizer's model, if one of the known ways is this file's."""
         for form in (lambda w: w, lambda w: w.strip().lower()):
@@ -114,7 +121,7 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if UNCLEAR_SPACE.search(text):
+        if UNCLEAR_SPACE.search(text) or any(a in text for a in self.added):
             return self._ids([text])[0]
         pieces = PIECE.findall(text)
         if len(self.memo) > REMEMBERED // 2:  # what was not used for two generations is forgotten

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from spokeframe.llm import bitpack, bpe, exact_dedup, languages, near_dedup, nearest, packing, suffix_dedup
 from spokeframe.llm import token_files, toxicity, url_rules
@@ -106,6 +107,16 @@ def test_memoised_ids_are_the_librarys(name):
     assert [tokens.encode(t) for t in texts] == tokens._ids(texts)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_are_found_as_by_the_library(name):
+    library, tokens = Tokenizer.from_file(public_path(name)), Encoder(public_path(name))
+    texts = ["x <|endoftext|> y", "x<|endoftext|>y <|endoftext|>", "<|startoftext|> a  <|endoftext|>\n b", "<|ENDOFTEXT|>", "<|endof text|>"]
+    texts += [t or "" for _, t in TEXTS]
+    for text in [*texts, *texts]:
+        ids = np.frombuffer(tokens.encode(text), "<u4").tolist()
+        assert ids == library.encode(text, add_special_tokens=False).ids
+
+
 def test_token_files(spark, docs, tmp_path):
     path = public_path("byte_bpe_50k.json")
     token_files.write_tokens(docs, str(tmp_path / "t"), path, end_id=2, block_tokens=100)
