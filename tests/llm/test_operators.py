@@ -369,6 +369,19 @@ def test_top_k_agrees_with_brute_force(spark):
     assert [r["rank"] for r in few.orderBy("rank").collect()] == [1, 2, 3]
 
 
+def test_top_k_of_empty_vectors(spark):
+    rng = np.random.default_rng(10)
+    rows = [(i, [] if i % 2 else rng.normal(0, 0.3, 4).astype(np.float32).tolist()) for i in range(300)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    found = nearest.top_k(table, F.col("vec_id").isin(2, 3, 299), shard_rows=40).collect()
+    assert sorted(tuple(r) for r in found if r.query_id == 3) == [(3, k, i, 0) for k, i in enumerate([1, *range(5, 23, 2)], 1)]
+    assert sorted(tuple(r) for r in found if r.query_id == 299) == [(299, k, i, 0) for k, i in enumerate(range(1, 21, 2), 1)]
+    good = {i: np.floor(1024 * np.array(v, np.float64)).astype(int) for i, v in rows if v}
+    best = sorted((-int(good[2] @ y), i) for i, y in good.items() if i != 2)[:10]
+    assert sorted(tuple(r) for r in found if r.query_id == 2) == [(2, k, i, -s) for k, (s, i) in enumerate(best, 1)]
+    assert nearest.top_k(table.where("vec_id % 2 = 1"), F.col("vec_id") == 1).count() == 10
+
+
 # --- packing
 
 
