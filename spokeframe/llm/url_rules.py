@@ -30,8 +30,6 @@ MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.6
 #: ... and that many times as often as labelled urls do at large.
 MIN_LIFT = 1.2
-#: Tokens that a rule may ask for. With m tokens in a url there are at most m**3 / 6 / MIN_SUPPORT rules.
-MOST_TOKENS = 3
 
 LABEL = "label="
 
@@ -90,12 +88,14 @@ def mine_rules(
     min_support: float = MIN_SUPPORT,
     min_confidence: float = MIN_CONFIDENCE,
     min_lift: float = MIN_LIFT,
-    most_tokens: int = MOST_TOKENS,
 ) -> DataFrame:
     """Rules from urls labelled ``allow`` or ``block``: items, verdict, confidence, support, anchor.
 
     Rows without url or label teach nothing; an empty table gives no rules. All labelled
-    rows count. ``anchor`` is the rarest of a rule's tokens.
+    rows count. Rules may ask for any number of tokens; one is left out only if without one
+    of its tokens it is a rule of the same verdict and at least the same confidence, which
+    then fits wherever it fits and comes no later in :func:`judged`. ``anchor`` is the rarest
+    of a rule's tokens.
     """
     baskets = (
         labelled.where(column(url_col).isNotNull() & column(label_col).isNotNull())
@@ -111,7 +111,7 @@ def mine_rules(
             [], "items array<string>, verdict string, confidence double, support double, anchor string"
         )
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    sets = kept(model.freqItemsets.where(F.size("items") <= most_tokens + 1), "itemsets")
+    sets = kept(model.freqItemsets, "itemsets")
     is_label = lambda x: x.startswith(LABEL)
     plain = sets.where(~F.exists("items", is_label)).select(F.array_sort("items").alias("items"), F.col("freq").alias("all"))
     with_label = sets.where(F.exists("items", is_label)).select(
@@ -120,7 +120,7 @@ def mine_rules(
         F.col("freq").alias("both"),
     )
     at_large = with_label.where(F.size("items") == 0).select("verdict", (F.col("both") / total).alias("share"))
-    rules = (
+    strong = (
         with_label.where(F.size("items") > 0)
         .join(plain, "items")
         .join(at_large, "verdict")
@@ -128,6 +128,7 @@ def mine_rules(
         .where((F.col("confidence") >= min_confidence) & (F.col("confidence") >= min_lift * F.col("share")))
         .select("items", "verdict", "confidence", (F.col("both") / total).alias("support"))
     )
+    rules = _needed(kept(strong, "strong"))
     single = plain.where(F.size("items") == 1).select(F.col("items")[0].alias("item"), "all")
     rarest = (
         rules.select("items", "verdict", F.explode("items").alias("item"))
@@ -138,6 +139,20 @@ def mine_rules(
     return kept(rules.join(rarest, ["items", "verdict"]), "rules")
 
 
+def _needed(rules: DataFrame) -> DataFrame:
+    """Rules without those that a rule with one token less settles: it has no smaller support."""
+    less = F.transform("items", lambda x: F.array_remove(F.col("items"), x))
+    shorter = rules.select(F.col("items").alias("fewer"), "verdict", F.col("confidence").alias("at_least"))
+    settled = (
+        rules.where(F.size("items") > 1)
+        .select("items", "verdict", "confidence", F.explode(less).alias("fewer"))
+        .join(shorter, ["fewer", "verdict"])
+        .where("at_least >= confidence")
+        .select("items", "verdict")
+    )
+    return rules.join(settled, ["items", "verdict"], "left_anti")
+
+
 def judged(
     pages: DataFrame, rules: DataFrame, url_col: str = "url", listed: tuple = LISTED, default: str = "allow"
 ) -> DataFrame:
@@ -149,7 +164,7 @@ def judged(
     New columns are lengthened where the table has such names already.
     """
     host, path, rule, verdict = (free_name(pages, n) for n in ("host", "path", "rule", "verdict"))
-    # The index: rules by anchor, as one map value; mine_rules() bounds their number.
+    # The index: rules by anchor, as one map value; support and _needed() limit their number.
     entry = F.struct("items", "confidence", "support", "verdict")
     index = rules.groupBy("anchor").agg(F.collect_list(entry).alias("rules")).agg(
         F.map_from_entries(F.collect_list(F.struct("anchor", "rules"))).alias("index")

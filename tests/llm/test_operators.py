@@ -348,6 +348,30 @@ def test_mined_url_rules_agree_with_counting(spark):
     assert [r.verdict for r in url_rules.judged(pages, rules).collect()] == ["block", "allow"]
 
 
+def test_rules_of_four_tokens_count_and_redundant_ones_do_not(spark):
+    # Blocked with all of a, b, c and d in the path; each three of them are allowed more often.
+    rows = [(f"http://h.com/a/b/c/d/{i}", "block") for i in range(20)]
+    for three in ("a/b/c", "a/b/d", "a/c/d", "b/c/d"):
+        rows += [(f"http://h.com/{three}/{i}", "allow") for i in range(40)]
+    rules = url_rules.mine_rules(spark.createDataFrame(rows, "url string, label string"), min_support=0.05).cache()
+    pages = spark.createDataFrame([("http://h.com/a/b/c/d/99",), ("http://h.com/a/b/c/99",)], "url string")
+    assert [r.verdict for r in url_rules.judged(pages, rules).collect()] == ["block", "allow"]
+
+    baskets = [({f"path={x}" for x in u.split("/")[3:-1]} | {"host=h.com", "host=com"}, v) for u, v in rows]
+    strong: dict = {}
+    tokens = sorted(set().union(*(b for b, _ in baskets)))
+    for bits in range(1, 1 << len(tokens)):
+        items = frozenset(t for i, t in enumerate(tokens) if bits >> i & 1)
+        found = [v for b, v in baskets if items <= b]
+        for verdict in ("allow", "block"):
+            both, share = found.count(verdict), sum(v == verdict for _, v in rows) / len(rows)
+            if both >= 0.05 * len(rows) and both / len(found) >= max(0.6, 1.2 * share):
+                strong[items, verdict] = both / len(found)
+    want = {k: c for k, c in strong.items() if not any(strong.get((k[0] - {x}, k[1]), 0) >= c for x in k[0])}
+    assert {(frozenset(r["items"]), r.verdict): r.confidence for r in rules.collect()} == pytest.approx(want)
+    assert {len(k[0]) for k in strong} >= {4, 6} and max(len(k[0]) for k in want) == 4
+
+
 # --- nearest vectors
 
 
