@@ -64,6 +64,34 @@ def test_quantiles_agree_with_brute_force(spark, monkeypatch, bins, passes):
             assert found[name, p]["quantile"] == pytest.approx(np.quantile(values, p), rel=1e-12, abs=1e-300)
 
 
+def test_quantiles_of_outliers_at_several_scales_leave_few_values_to_rank(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "MOST_LEFT", 500, raising=False)
+    rng = random.Random(4)
+    columns = {
+        "two scales": [rng.random() for _ in range(20_000)] + [1e9, 1e18],
+        "narrow": [1 + rng.random() * 1e-9 for _ in range(20_000)] + [1.5, 1.001, -1e200, 0.0, 1e200],
+        "ends": [rng.random() for _ in range(5_000)] + [-1.7e308, 1.7e308, float("inf"), 5e-324],
+    }
+    long = spark.createDataFrame(
+        [(name, v) for name, values in columns.items() for v in values], "column string, value double"
+    ).repartition(6)
+    ranked = []
+    before = quantiles._with_before
+
+    def noted(counted, order, *keys):
+        if order == "value":
+            ranked.extend(r["count"] for r in counted.groupBy(*keys).count().collect())
+        return before(counted, order, *keys)
+
+    monkeypatch.setattr(quantiles, "_with_before", noted)
+    probs = (0.25, 0.5, 0.75)
+    found = by(quantiles.exact_quantiles(long, probs), "column", "prob")
+    assert ranked and max(ranked) <= 500
+    for name, values in columns.items():
+        for p in probs:
+            assert found[name, p]["quantile"] == pytest.approx(np.quantile(np.sort(values), p), rel=1e-12)
+
+
 def test_text_profile_and_shape(spark):
     table = trips(spark, trip("a", start_station_name=""), trip("b", end_station_name=None))
     text = by(profile.profile_text(table), "column")
