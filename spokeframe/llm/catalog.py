@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op5_byte_bpe
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .languages import op4_language
+from .lm_scoring import op11_lm_scoring
 from .near_dedup import op3_near_dedup
 from .nearest import OP9_SQL, op9_kd_top_k
 from .packing import op10_best_fit_packing
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_kd_top_k": op9_kd_top_k,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_lm_scoring": op11_lm_scoring,
 }
 
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op9_kd_top_k": OP9_SQL}
