@@ -32,6 +32,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,7 +43,7 @@ from .tables import column, fold, kept, read_table, shuffle_partitions
 from .workers import forget
 
 ORDER = 3
-BLOCK_TOKENS = 1 << 20  #: a block is closed by the first document that brings it to this many
+BLOCK_CHARS = 6 << 20  #: a block is closed by the first document that brings it to this many
 BUCKET_KEYS = 1 << 20  #: n-grams asked about in one bucket, about
 FOLDS = 10  #: of the training documents, one in so many is held out for the weights
 PRIOR = 0.5  #: occurrences that each weight has from the start; keeps every weight above 0
@@ -84,15 +85,45 @@ _BLOCK = pa.schema(
 # Blocks ------------------------------------------------------------------------
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Runs of bytes other than blanks and tabs to carriage returns, A-Z lower-cased."""
-    return (text or "").encode().lower().split()
+def _binary(lengths: np.ndarray, data: np.ndarray) -> pa.BinaryArray:
+    """Values of these lengths, one after the other in ``data``."""
+    offsets = np.zeros(len(lengths) + 1, np.int32)
+    np.cumsum(lengths, out=offsets[1:])
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def tokens_of(texts: list[str | None]) -> tuple[pa.BinaryArray, np.ndarray]:
+    """All texts' tokens in a row, and how many each text has.
+
+    A token is a run of bytes other than the blank and those from tab to carriage return,
+    A-Z lower-cased; the empty word ends each text.
+    """
+    raw = [(t or "").encode().lower() for t in texts]
+    data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
+    inside = (data != 32) & ((data < 9) | (data > 13))
+    change = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0)))
+    starts, ends = change[::2], change[1::2]  # a text's own line end closes its last word
+    before = np.searchsorted(starts, np.cumsum([len(r) + 1 for r in raw]))
+    return _binary(np.insert(ends - starts, before, 0), data[inside]), np.diff(before, prepend=0) + 1
+
+
+def _joined(words: pa.BinaryArray, edges: list[int]) -> list[bytes]:
+    """The words between each two edges, as lines."""
+    lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), words)
+    return pc.binary_join(lists, pa.scalar(b"\n")).to_pylist()
+
+
+def _lines(parts: list[bytes]) -> pa.BinaryArray:
+    """The lines of all ``parts``."""
+    data = np.frombuffer(b"\n".join([*parts, b""]), np.uint8)
+    line_end = data == 10
+    return _binary(np.diff(np.flatnonzero(line_end), prepend=-1) - 1, data[~line_end])
 
 
 def _counts_by_role(codes: np.ndarray, roles: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Per code its occurrences in training documents, and those of them in the fold."""
-    held = np.bincount(codes[roles == HELD], minlength=size)
-    return np.bincount(codes[roles == TRAIN], minlength=size) + held, held
+    counts = np.bincount(codes * 3 + roles, minlength=3 * size).reshape(-1, 3)
+    return counts[:, TRAIN] + counts[:, HELD], counts[:, HELD]
 
 
 def _stretches(bucket: np.ndarray) -> list[tuple[int, int]]:
@@ -101,43 +132,54 @@ def _stretches(bucket: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges, [*edges, len(bucket)][1:], strict=True))
 
 
-def _block_row(number: int, docs: list, roles: list, sizes: list, codes: list, words: dict, buckets: int) -> pa.RecordBatch:
-    """Tokens as places in the vocabulary sorted by bucket and word; the end of a document is the empty word."""
-    spelled = list(words)
-    bucket = [zlib.crc32(w) % buckets for w in spelled]
-    order = sorted(range(len(spelled)), key=lambda i: (bucket[i], spelled[i]))
+def _order(*columns: np.ndarray) -> np.ndarray:
+    """The order by all columns of numbers, the first one first."""
+    widths = [int(c.max(initial=0)).bit_length() for c in columns]
+    if sum(widths) > 64:
+        return np.lexsort(columns[::-1])
+    key = columns[0].astype(np.uint64)
+    for column_, width in zip(columns[1:], widths[1:], strict=True):
+        key = (key << np.uint64(width)) | column_.astype(np.uint64)
+    return np.argsort(key)
+
+
+def _block_row(number: int, docs: list, roles: list, texts: list, buckets: int) -> pa.RecordBatch:
+    """Tokens as places in the block's vocabulary, which is sorted by bucket and word."""
+    words, sizes = tokens_of(texts)
+    coded = words.dictionary_encode()
+    by_word = pc.sort_indices(coded.dictionary)
+    spelled = coded.dictionary.take(by_word)
+    bucket = np.array([zlib.crc32(w) % buckets for w in _joined(spelled, [0, len(spelled)])[0].split(b"\n")], np.int64)
+    by_bucket = np.argsort(bucket, kind="stable")
     rank = np.empty(len(spelled), np.int64)
-    rank[order] = np.arange(len(spelled))
-    tokens = rank[np.concatenate(codes)]
-    role = np.repeat(np.array(roles, np.uint8), sizes)
-    train, held = _counts_by_role(tokens, role, len(spelled))
+    rank[by_word.to_numpy()[by_bucket]] = np.arange(len(spelled))
+    tokens = rank[coded.indices.to_numpy()]
+    train, held = _counts_by_role(tokens, np.repeat(np.array(roles, np.int64), sizes), len(spelled))
+    stretches = _stretches(bucket[by_bucket])
+    parts = _joined(spelled.take(pa.array(by_bucket)), [0, *(b for _, b in stretches)])
     asks = []
-    for a, b in _stretches(np.array([bucket[i] for i in order])):
-        text = shrink(b"\n".join([spelled[i] for i in order[a:b]]))
+    for (a, b), text in zip(stretches, parts, strict=True):
         counted = (to_planes(x[a:b].astype("<u4")) for x in (train, held))
-        asks.append(dict(zip(_ASK.names, (bucket[order[a]], b - a, text, b"", *counted), strict=True)))
-    row = (number, docs, bytes(roles), to_planes(np.array(sizes, "<u4")), to_planes(tokens.astype("<u4")), len(words), asks)
+        asks.append(dict(zip(_ASK.names, (int(bucket[by_bucket[a]]), b - a, shrink(text), b"", *counted), strict=True)))
+    row = (number, docs, bytes(roles), to_planes(sizes.astype("<u4")), to_planes(tokens.astype("<u4")), len(spelled), asks)
     return pa.RecordBatch.from_pydict({f.name: [v] for f, v in zip(_BLOCK, row, strict=True)}, schema=_BLOCK)
 
 
-def _into_blocks(block_tokens: int, buckets: int):
+def _into_blocks(block_chars: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        number, docs, roles, sizes, codes, words, size = TaskContext.get().partitionId() << 32, [], [], [], [], {}, 0
+        number, docs, roles, texts, size = TaskContext.get().partitionId() << 32, [], [], [], 0
         for batch in batches:
             for doc, role, text in zip(*(batch.column(i) for i in range(3)), strict=True):
-                found = words_of(text.as_py())
-                found.append(b"")
-                codes.append(np.array([words.setdefault(w, len(words)) for w in found], np.int64))
                 docs.append(doc.as_py())
                 roles.append(role.as_py())
-                sizes.append(len(found))
-                size += len(found)
-                if size >= block_tokens:
-                    yield _block_row(number, docs, roles, sizes, codes, words, buckets)
-                    number, docs, roles, sizes, codes, words, size = number + 1, [], [], [], [], {}, 0
+                texts.append(text.as_py())
+                size += len(texts[-1] or "") + 1
+                if size >= block_chars:
+                    yield _block_row(number, docs, roles, texts, buckets)
+                    number, docs, roles, texts, size = number + 1, [], [], [], 0
         if docs:
-            yield _block_row(number, docs, roles, sizes, codes, words, buckets)
+            yield _block_row(number, docs, roles, texts, buckets)
 
     return run
 
@@ -207,7 +249,7 @@ class _Block:
         seq[self.place > 0] = from_planes(first["tokens"], "<u4")
         seq[self.place == 0] = words
         self.doc = np.repeat(np.arange(len(starts)), self.sizes + 1)
-        self.role = self.roles[self.doc]
+        self.role = self.roles.astype(np.int64)[self.doc]
         self.levels: list[_Level] = []
         told: dict[int, list] = {level: [] for level in range(1, answered + 1)}
         for level, bucket, *data in zip(*(replies.column(c).to_pylist() for c in REPLIED), strict=True):
@@ -222,17 +264,18 @@ class _Block:
     def next_level(self) -> _Asked:
         """The pairs of neighbouring n-grams of the last level."""
         last = self.levels[-1]
-        there = np.flatnonzero(self.place >= len(self.levels))
+        there = self.place[1:] >= len(self.levels)
         size = len(last.train)
-        pairs, distinct = pd.factorize(last.codes[there - 1] * size + last.codes[there])
+        pairs, distinct = pd.factorize((last.codes[:-1] * size + last.codes[1:])[there])
         codes = np.full(len(self.place), -1, np.int64)
-        codes[there] = pairs
-        train, held = _counts_by_role(pairs, self.role[there], len(distinct))
-        left, right = distinct // size, distinct % size
+        codes[1:][there] = pairs
+        train, held = _counts_by_role(pairs, self.role[1:][there], len(distinct))
+        left = distinct // max(1, size)
+        right = distinct - left * size
         open_ = np.flatnonzero(~(last.settled[left] | last.settled[right]))
         a, b = last.number[left[open_]], last.number[right[open_]]
         bucket = _bucket(a, b, self.buckets)
-        order = np.lexsort((b, a, bucket))
+        order = _order(bucket, a, b)
         return _Asked(codes, train, held, open_[order], bucket[order], a[order], b[order])
 
     def estimates(self, deleted: bool, tokens: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -256,8 +299,10 @@ class _Block:
             total = shorter.train - shorter.held if deleted else shorter.train
             context = np.where(self.place[at] > k - 1, total[shorter.codes[at - 1]], 0)
             there = context > 0
-            share[k, there] = seen[there] / context[there]
-            kind[there] = k * FREQUENCIES + np.minimum(np.log2(context[there]).astype(np.int64), FREQUENCIES - 1)
+            np.divide(seen, context, out=share[k], where=there)
+            # frexp gives the power of two above: 1 for 1, 2 for 2 and 3, 3 for 4 to 7
+            power = np.minimum(np.frexp(context.astype(np.float64))[1] - 1, FREQUENCIES - 1)
+            kind = np.where(there, k * FREQUENCIES + power, kind)
         return at, kind, share
 
 
@@ -278,14 +323,12 @@ def _answer(level: int, buckets: int):
         forget()
         bucket, sizes = table.column("bucket")[0].as_py(), table.column("n").to_pylist()
         if level == 1:
-            words = pa.chunked_array([pa.array(grow(x).split(b"\n"), pa.binary()) for x in table.column("left").to_pylist()])
-            coded = words.combine_chunks().dictionary_encode()
-            group, distinct = coded.indices.to_numpy(), coded.dictionary
-            order = np.argsort(np.array(distinct.to_pylist(), object), kind="stable")
+            coded = _lines([grow(x) for x in table.column("left").to_pylist()]).dictionary_encode()
+            group, order = coded.indices.to_numpy(), pc.sort_indices(coded.dictionary).to_numpy()
         else:
             left = np.concatenate([rising_from_planes(x) for x in table.column("left").to_pylist()])
             right = np.concatenate([from_planes(x, "<u8") for x in table.column("right").to_pylist()])
-            sort = np.lexsort((right, left))
+            sort = _order(left, right)
             a, b = left[sort], right[sort]
             fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
             group = np.empty(len(sort), np.int64)
@@ -385,7 +428,7 @@ def scored(
     text_col: str = "text",
     folds: int = 10,
     order: int = ORDER,
-    block_tokens: int = BLOCK_TOKENS,
+    block_chars: int = BLOCK_CHARS,
     bucket_keys: int = BUCKET_KEYS,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
@@ -415,7 +458,7 @@ def scored(
 
     name = f"spokeframe_blocks_{uuid.uuid4().hex}"
     (
-        rows.mapInArrow(_into_blocks(block_tokens, buckets), BLOCK)
+        rows.mapInArrow(_into_blocks(block_chars, buckets), BLOCK)
         .write.bucketBy(shuffle_partitions(spark), "block")
         .option("compression", "none")  # its columns are packed already
         .option("path", new_path(spark, "lm-blocks"))
