@@ -13,6 +13,7 @@ from .suffix_dedup import op6_suffix_dedup
 from .token_files import op2_token_files
 from .toxicity import op8_toxicity
 from .url_rules import op7_url_rules
+from .whitening import op12_whitening
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_kd_top_k": op9_kd_top_k,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_lm_scoring": op11_lm_scoring,
+    "op12_whitening": op12_whitening,
 }
 
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op9_kd_top_k": OP9_SQL}
