@@ -8,9 +8,10 @@ eigenvectors come from its right singular vectors.
 
 Every u is X times a known vector of one number a dimension, so the driver keeps that
 vector and a pass makes the u's anew block by block; nothing as long as the table is ever
-kept, moved or collected. A pass returns sums of a few numbers a dimension. Each u is
-orthogonalised against all earlier ones by their products with it, summed over the rows,
-in two passes; each v on the driver.
+kept, moved or collected. A pass takes p = X z for a vector z and returns p'p and X'p,
+sums of a number a dimension. From X'p come the products of p with all earlier u's, so
+that each u is orthogonalised against all of them, with a second pass where rounding asks
+for it; each v is orthogonalised on the driver.
 """
 
 from __future__ import annotations
@@ -111,17 +112,17 @@ class _Rows:
 
         return centred
 
-    def products(self, direction: np.ndarray, earlier: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
-        """For p = X direction and U = X earlier: U'p, p'p and X'p."""
-        centred, count = self.centre(), earlier.shape[1]
+    def products(self, direction: np.ndarray) -> tuple[float, np.ndarray]:
+        """For p = X direction: p'p and X'p."""
+        centred = self.centre()
 
         def work(x: np.ndarray) -> np.ndarray:
             rows = centred(x)
             p = rows @ direction
-            return np.concatenate([(rows @ earlier).T @ p, [p @ p], rows.T @ p])
+            return np.concatenate([[p @ p], p @ rows])
 
         found = _summed(self.blocks, work)
-        return found[:count], float(found[count]), found[count + 1 :]
+        return float(found[0]), found[1:]
 
 
 def bidiagonalised(rows: _Rows, wanted: int, trace: float, seed: int = 12) -> tuple[np.ndarray, np.ndarray]:
@@ -150,9 +151,12 @@ def bidiagonalised(rows: _Rows, wanted: int, trace: float, seed: int = 12) -> tu
         j = right.shape[1]
         right = np.column_stack([right, v])
         direction = v - beta * left[:, -1] if j else v
-        for _ in range(2):  # against all earlier u's; the second pass removes what rounding left of the first
-            inner, square, back = rows.products(direction, left)
-            direction, square, back = direction - left @ inner, square - float(inner @ inner), back - across @ inner
+        for _ in range(2):  # against all earlier u's; again if so much went that rounding counts in what is left
+            before, back = rows.products(direction)
+            inner = left.T @ back  # U'p, as each u is X times its column
+            direction, square, back = direction - left @ inner, before - float(inner @ inner), back - across @ inner
+            if square > before / 2:
+                break
         alpha = np.sqrt(max(0.0, square))
         grown = np.zeros((j + 1, j + 1))
         grown[:j, :j] = bidiagonal
