@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op13_alignment
 from .bpe import op5_byte_bpe
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .languages import op4_language
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_lm_scoring": op11_lm_scoring,
     "op12_whitening": op12_whitening,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op9_kd_top_k": OP9_SQL}

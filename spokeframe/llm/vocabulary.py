@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterable
 
 import numpy as np
 
@@ -21,12 +22,12 @@ from .workers import remembered
 PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 UNCLEAR_SPACE = re.compile(r"[\t\x0b-\r\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 
-#: Letters that are one character however a text is normalised, and lower-cased alike everywhere.
-LATIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: A line end or blank, letters that are one letter however a text is normalised and lower-cased, and marks
+#: other than the apostrophe (which may begin a token with letters after it).
+PLAIN_WORD = re.compile(r"(\n?)((?<!\n) ?[A-Za-zÀ-ÖØ-öø-ÿ]+|(?<=\n)[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 #: Byte-level vocabularies write bytes that print as themselves and the others as letters from 256 on.
 _PRINT = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LETTERS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINT)}
-MARKS = frozenset(".,;:!?")
 PLAIN = re.compile(r" ?[^ \n]+")
 #: Tried in this order; the first serves byte-level vocabularies, the second those that drop white space.
 SEPARATORS = ("\n", " \ue000 ")
@@ -34,22 +35,31 @@ SEPARATORS = ("\n", " \ue000 ")
 #: Pieces remembered by one worker (some 200 bytes each); longer pieces are not remembered.
 REMEMBERED = 800_000
 LONGEST = 48
+MARKS = 10_000  #: different runs of marks remembered
 
 
 class Encoder:
-    """Ids as little-endian unsigned 32-bit integers."""
+    """Ids as little-endian unsigned 32-bit integers.
 
-    def __init__(self, path: str):
+    With ``plain`` the strings of added tokens are ordinary text, else they get their own
+    ids wherever they stand, as by the library's default.
+    """
+
+    def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = self._added()
+        self.tokenizer.encode_special_tokens = plain
+        self.added = [] if plain else self._added()
         self.size = self.tokenizer.get_vocab_size()
+        self.raw = [i.to_bytes(4, "little") for i in range(self.size)]
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
         self.separator, self.separator_ids = self._separator()
         self.word_form = self._word_form()
+        self.line_end = self._ids(["\n"])[0]
 
     def _added(self) -> list[str]:
         """Strings of which one is in every text that holds an added token; the empty one if that is unclear."""
@@ -60,7 +70,10 @@ class Encoder:
         """How a plain word reaches the tokenizer's model, if one of the known ways is this file's."""
         for form in (lambda w: w, lambda w: w.strip().lower()):
             words = [" Hello", "hello", " Été", "ñandú", " straße", " WORD"]
-            if [self._model_ids(form(w)) for w in words] == self._ids(words):
+            end, mark = self._ids(["\n", "!.)"])
+            cut = [f"\n{words[1]}!.)", f"{words[0]}!.)"]
+            whole = [end + self._ids([words[1]])[0] + mark, self._ids([words[0]])[0] + mark]
+            if [self._model_ids(form(w)) for w in words] == self._ids(words) and whole == self._ids(cut):
                 return form
         return None
 
@@ -69,7 +82,8 @@ class Encoder:
             mapped = word.replace(" ", BYTE_LETTERS[32])
         else:
             mapped = word.encode().decode("latin-1").translate(BYTE_LETTERS)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(mapped)])
+        raw = self.raw
+        return b"".join([raw[t.id] for t in self.tokenizer.model.tokenize(mapped)])
 
     def _separator(self) -> tuple[str, np.ndarray]:
         """A string that can stand between two pieces and always has ids of its own."""
@@ -105,46 +119,68 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, "<u4").tobytes() for x in found]
 
-    def _look_up(self, new: set[str]) -> dict[str, bytes]:
-        """Ids of pieces not remembered. A last mark after a letter always stands alone."""
-        cut = {p: p[:-1] for p in new if p[-1] in MARKS and p[:-1] and p[-2].isalpha()}
-        words = {cut.get(p, p) for p in new} | {p[-1] for p in cut}
-        known = {p: self.memo.get(p) or self.older.get(p) for p in words}
-        missing = [p for p in words if known[p] is None]
-        if self.word_form:  # a word of plain letters is one call to the model, without the rest
-            words = [p for p in missing if LATIN.fullmatch(p)]
-            known.update((p, self._model_ids(self.word_form(p))) for p in words)
-            missing = [p for p in missing if known[p] is None]
-        known.update(zip(missing, self._pieces(missing) if missing else [], strict=True))
-        return {p: known[cut[p]] + known[p[-1]] if p in cut else known[p] for p in new}
+    def _plain_word(self, match: re.Match) -> bytes:
+        """Its line end, its word and its marks are tokens apart."""
+        line_end, word, marks = match.groups()
+        ids = self.memo.get(word) if line_end or marks else None
+        if ids is None:
+            ids = self._model_ids(self.word_form(word))
+        if marks:
+            after = self.marks.get(marks)
+            if after is None:
+                after = self._ids([marks])[0]
+                if len(self.marks) < MARKS and len(marks) <= LONGEST:
+                    self.marks[marks] = after
+            ids += after
+        return self.line_end + ids if line_end else ids
+
+    def _new(self, new: Iterable[str]) -> dict[str, bytes]:
+        """Ids of pieces not in use; short ones are remembered."""
+        found: dict[str, bytes] = {}
+        others, older, plain = [], self.older, PLAIN_WORD.fullmatch if self.word_form else lambda p: None
+        for p in new:
+            ids = older.get(p)
+            if ids is None:
+                match = plain(p)
+                if match is None:
+                    others.append(p)
+                    continue
+                ids = self._plain_word(match)
+            found[p] = ids
+        if others:
+            found.update(zip(others, self._pieces(others), strict=True))
+        if max(map(len, found), default=0) > LONGEST:
+            self.memo.update((p, ids) for p, ids in found.items() if len(p) <= LONGEST)
+        else:
+            self.memo.update(found)
+        return found
+
+    def of_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece, as it were cut from a text by :data:`PIECE`."""
+        if len(self.memo) > REMEMBERED // 2:  # what was not used for two generations is forgotten
+            self.older, self.memo = self.memo, {}
+        ids = list(map(self.memo.get, pieces))
+        if None in ids:
+            found = self._new({p for p, known in zip(pieces, ids, strict=True) if known is None})
+            ids = [found[p] if known is None else known for p, known in zip(pieces, ids, strict=True)]
+        return ids
+
+    def is_whole(self, text: str) -> bool:
+        """Whether the text must go through the library in one piece."""
+        return UNCLEAR_SPACE.search(text) is not None or any(a in text for a in self.added)
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if UNCLEAR_SPACE.search(text) or any(a in text for a in self.added):
+        if self.is_whole(text):
             return self._ids([text])[0]
-        pieces = PIECE.findall(text)
-        if len(self.memo) > REMEMBERED // 2:  # what was not used for two generations is forgotten
-            self.older, self.memo = self.memo, {}
-        memo, older = self.memo, self.older
-        new = {p for p in set(pieces) if p not in memo}
-        if new:
-            known = {p: older[p] for p in new if p in older}
-            unknown = new - known.keys()
-            memo.update(known)
-            if unknown:
-                memo.update(self._look_up(unknown))
-        ids = b"".join([memo[p] for p in pieces])
-        for p in new:
-            if len(p) > LONGEST:
-                del memo[p]
-        return ids
+        return b"".join(self.of_pieces(PIECE.findall(text)))
 
 
 @remembered(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One per worker process and file."""
-    return Encoder(path)
+def encoder(path: str, plain: bool = False) -> Encoder:
+    """One per worker process, file and meaning of added tokens."""
+    return Encoder(path, plain)
 
 
 def public_path(name: str) -> str:

@@ -117,6 +117,18 @@ def test_added_tokens_are_found_as_by_the_library(name):
         assert ids == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_of_every_letter_and_mark_are_the_librarys(name):
+    """Each character alone, after and before others, at places where a piece or its marks are cut."""
+    library, tokens = Tokenizer.from_file(public_path(name)), Encoder(public_path(name))
+    places = ("{0}! ", " {0}", "a{0},", " {0}b. ", "\n{0}", "\n{0}s#%", " \n x{0}", "{0}'s", " é{0}?!", "({0}) ", "1{0}2;\n")
+    ranges = ((33, 0x3400), (0xA000, 0xA100), (0xAC00, 0xAC80), (0xF900, 0x10000), (0x1D100, 0x1D200), (0x1F600, 0x1F650))
+    texts = ["".join(p.format(chr(c)) for p in places) for r in ranges for c in range(*r)]
+    expected = library.encode_batch(texts, add_special_tokens=False)
+    for text, whole in zip(texts, expected, strict=True):
+        assert np.frombuffer(tokens.encode(text), "<u4").tolist() == whole.ids, (text, hex(ord(text[0])))
+
+
 def test_token_files(spark, docs, tmp_path):
     path = public_path("byte_bpe_50k.json")
     token_files.write_tokens(docs, str(tmp_path / "t"), path, end_id=2, block_tokens=100)
