@@ -10,13 +10,13 @@ found there tells which predictions to reject.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +30,7 @@ EPOCHS = 4
 WANTED_PRECISION = 0.99  #: of the predictions that are not rejected, on the documents kept out
 SIZES = (2, 3, 4)
 BLOCK = 1 << 20  #: bytes scored at once
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
 _FOLDED = np.full(256, 32, np.uint8)

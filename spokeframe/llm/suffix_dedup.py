@@ -47,8 +47,8 @@ WINDOW = 100
 #: A perfect difference set: every residue modulo 57 but 0 is the difference of one pair.
 PERIOD = 57
 COVER = (0, 1, 3, 13, 32, 36, 43, 52)
-PART_BYTES = 8 << 20
-BUCKET_KEYS = 1 << 21  #: distinct fingerprints of a bucket, about
+PART_BYTES = 4 << 20
+BUCKET_KEYS = 1 << 20  #: distinct fingerprints of a bucket, about
 BLOCK = 1 << 20  #: positions fingerprinted at once
 SAMPLE_SLACK_BITS = 13  #: beyond the logarithm of the input; a false rank only sends a window on
 
@@ -88,11 +88,14 @@ def fingerprints(data: np.ndarray, length: int, places: np.ndarray, which: int =
     return out
 
 
-def _order(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The stable order of pairs, and which of them in that order equal the pair before."""
+def _order(first: np.ndarray, second: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The stable order of pairs, and which of them in that order equal the pair before; or so of ``first`` alone."""
     order = np.argsort(first, kind="stable")
-    a, b = first[order], second[order]
+    a = first[order]
     same = a[1:] == a[:-1]
+    if second is None:
+        return order, np.concatenate([np.zeros(min(1, len(first)), bool), same])
+    b = second[order]
     other = b[1:] != b[:-1]
     if (same & other).any():  # one first fingerprint with two second ones
         order = np.lexsort((second, first))
@@ -207,6 +210,7 @@ def _answer(kind: int):
     """One bit per key asked about: kind 1, another part has it; kind 2, an earlier part has it."""
 
     def run(table: pa.Table) -> pa.Table:
+        forget()
         table = table.sort_by("part")
         asked = []
         for n, first, width, data in zip(*(table.column(c).to_pylist() for c in ("n", "first", "width", "data")), strict=True):
@@ -217,12 +221,14 @@ def _answer(kind: int):
         sizes = [len(k) for k in asked]
         keys = np.concatenate(asked)
         del asked
-        second = np.zeros(len(keys), np.uint64)
+        second = None
         if kind == 2:
             second = np.concatenate([np.frombuffer(x.as_buffer(), "<u8") for x in table.column("second")])
         order, equal = _order(keys, second)  # equal keys stay in the order of their parts
+        count = len(keys)
+        del keys, second
         same = np.append(equal, False)
-        flag = np.empty(len(keys), bool)
+        flag = np.empty(count, bool)
         flag[order] = same[:-1] | same[1:] if kind == 1 else same[:-1]
         parts = np.split(flag, np.cumsum(sizes)[:-1])
         return pa.table(
@@ -318,6 +324,7 @@ def repeated_removed(
     text_col: str = "text",
     window: int = WINDOW,
     part_bytes: int = PART_BYTES,
+    texts: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: id, rest (its other columns), text, spans, n_bytes, kept_bytes.
 
@@ -326,7 +333,8 @@ def repeated_removed(
     also starts earlier: in a document with a smaller id, or earlier in the same one; all
     strings are judged on the input. kept_bytes are the bytes outside the spans. Rows with
     equal ids stand in the order of their texts; ids of NULL come first. Texts shorter than
-    the window lose nothing. An empty table gives no rows.
+    the window lose nothing. An empty table gives no rows. With ``texts`` the columns are
+    rest and text alone, the text without its spans (as by :func:`without_spans`).
     """
     if window < PERIOD + 8:
         raise ValueError(f"the window must have at least {PERIOD + 8} bytes")
@@ -345,6 +353,7 @@ def repeated_removed(
         return parts.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(work, schema)
 
     def ask_sample(rows: pa.Table, told: pa.Table) -> pa.Table:
+        forget()
         part = _Part(rows, told, settings)
         return _ask(rows.column("part")[0].as_py(), np.unique(part.sample()[1]), sample_bits, buckets)
 
@@ -353,6 +362,7 @@ def repeated_removed(
     replies = replies.unionByName(repeated)
 
     def ask_windows(rows: pa.Table, told: pa.Table) -> pa.Table:
+        forget()
         part = _Part(rows, told, settings)
         _, first, second = part.going_on()
         order, again = _order(first, second)
@@ -364,16 +374,18 @@ def repeated_removed(
     replies = replies.unionByName(earlier)
 
     def remove(rows: pa.Table, told: pa.Table) -> pa.Table:
+        forget()
         part = _Part(rows, told, settings)
         starts = part.repeated_starts()
         cover = np.zeros(len(part.data) + 1, np.int32)
         np.add.at(cover, starts, 1)
         np.add.at(cover, starts + window, -1)
         gone = np.cumsum(cover[:-1]) > 0
+        del cover, starts
         spans, kept_bytes, sizes = [], [], []
         for i, (a, b) in enumerate(zip(part.edges[:-1].tolist(), part.edges[1:].tolist(), strict=True)):
             if part.copy[i]:
-                size = len(part.texts[i].encode())
+                size = len((part.texts[i] or "").encode())
                 spans.append([(0, size)])
                 kept_bytes.append(b"")
                 sizes.append(size)
@@ -383,8 +395,11 @@ def repeated_removed(
             spans.append(list(zip(change[::2].tolist(), change[1::2].tolist(), strict=True)))
             kept_bytes.append(part.data[a:b][~here].tobytes())
             sizes.append(b - a)
-        span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
         as_rows = [[{"start": s, "end": e} for s, e in x] for x in spans]
+        if texts:
+            cut = [t if t is None or not s else without_spans(t.encode(), s) for t, s in zip(part.texts, as_rows, strict=True)]
+            return part.rows.select(["rest"]).append_column("text", pa.array(cut, pa.string()))
+        span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
         return (
             part.rows.select(["id", "rest", "text"])
             .append_column("spans", pa.array(as_rows, pa.list_(span)))
@@ -396,7 +411,7 @@ def repeated_removed(
     schema = parts.select(
         "id", "rest", "text", spans.alias("spans"), F.lit(0).cast("long").alias("n_bytes"), F.lit(b"").alias("kept_bytes")
     ).schema
-    return with_parts(replies, remove, schema)
+    return with_parts(replies, remove, parts.select("rest", "text").schema if texts else schema)
 
 
 def without_spans(raw: bytes, spans: list) -> str:
@@ -419,18 +434,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rules as in :func:`repeated_removed`. A NULL text stays NULL. A character of which a
     span covers only a part stays, so that texts stay valid.
     """
-    found = repeated_removed(docs, id_col, text_col, window)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [
-                t if t is None or not s else without_spans(t.encode(), s)
-                for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["rest", "text"])
-
-    schema = found.select("rest", "text").schema
-    rows = found.select("rest", "text", "spans").mapInArrow(cut, schema)
+    rows = repeated_removed(docs, id_col, text_col, window, texts=True)
 
     def field(name: str) -> Column:
         return F.col("text").alias(name) if name == text_col else F.col("rest").getField(name).alias(name)

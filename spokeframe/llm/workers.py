@@ -7,6 +7,7 @@ not use them drops them first, so that a chain of operators does not add them up
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable
 from functools import lru_cache
@@ -27,8 +28,16 @@ def remembered(maxsize: int) -> Callable:
     return wrap
 
 
+def _give_back() -> None:
+    """Freed memory goes back to the system, where the C library can do that."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def forget(*but: Callable) -> None:
-    """Drop all that is remembered in this process, except by ``but``."""
+    """Drop all that is remembered in this process, except by ``but``, and give back freed memory."""
     dropped = False
     for cached in _CACHES:
         if cached not in but and cached.cache_info().currsize:
@@ -36,4 +45,4 @@ def forget(*but: Callable) -> None:
             dropped = True
     if dropped:
         gc.collect()
-        pa.default_memory_pool().release_unused()
+    _give_back()

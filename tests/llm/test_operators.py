@@ -211,6 +211,20 @@ def test_language(spark, docs, sf_dir):
     assert all(s == pytest.approx(edge[t].score, rel=1e-9) for t, s in alone.items())
 
 
+def test_texts_without_a_letter_have_no_language(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang IS NOT NULL")
+    model = languages.train(table)
+    schema = "doc_id long, text string, lang_pred string, score double, rejected boolean"
+    texts = ["½ ² Ⅷ", "123 !? ٣", "①", "_", "", None, "the cat", "ª", "日本"]
+    rows = spark.createDataFrame([(k, t, "x", 0.1, True) for k, t in enumerate(texts)], schema)
+    found = languages.predicted(rows, model)
+    assert found.columns == [*rows.columns, "lang_pred_", "score_", "rejected_"]
+    by_text = {r.text: r for r in found.collect()}
+    assert {t for t, r in by_text.items() if r.lang_pred_ == "und"} == set(texts[:6])
+    assert all((r.score_, r.rejected_) == (0, True) for t, r in by_text.items() if t in texts[:6])
+    assert all((r.lang_pred, r.score, r.rejected) == ("x", 0.1, True) for r in by_text.values())
+
+
 def test_toxicity_does_not_mind_groups():
     things = ("day", "house", "garden", "bread", "music", "water")
     calm = [f"the {t} of {g} was calm and kind" for t in things for g in ("people", "towns", "men")]
@@ -405,6 +419,31 @@ def test_top_k_agrees_with_brute_force(spark):
     assert [r["rank"] for r in few.orderBy("rank").collect()] == [1, 2, 3]
 
 
+def test_top_k_of_repeated_ids_and_of_vectors_too_long(spark):
+    rng = np.random.default_rng(5)
+    vectors = [(int(i), rng.normal(size=3).tolist(), 1, 2) for i in rng.integers(0, 30, 200)]
+    schema = "vec_id long, embedding array<double>, score int, query_id int"
+    first = {}
+    for i, v, *_ in vectors:
+        first.setdefault(i, v)
+    table = spark.createDataFrame(vectors, schema).coalesce(1)
+    found = nearest.top_k(table, F.col("vec_id") % 10 == 0, k=7, shard_rows=20).collect()
+    whole = [(i, np.floor(1024 * np.array(v)).astype(int)) for i, v, *_ in vectors]
+    asked = sorted({i for i, _ in whole if i % 10 == 0})
+    assert sorted({r.query_id for r in found}) == asked
+    for q in asked:
+        mine = [(r.vec_id, r.score) for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == q]
+        answers = []
+        for own in (v for i, v in whole if i == q):  # any of the rows with that id may have asked
+            others = sorted((-int(own @ v), i) for i, v in whole if i != q)[:7]
+            answers.append([(i, -s) for s, i in others])
+        assert mine in answers
+    for entry in (1e10, 1e300):
+        far = spark.createDataFrame([(0, [entry, entry], 1, 2), (1, [1.0, 2.0], 1, 2)], schema)
+        with pytest.raises(Exception, match="too long"):
+            nearest.top_k(far, F.col("vec_id") == 0).collect()
+
+
 def test_top_k_of_empty_vectors(spark):
     rng = np.random.default_rng(10)
     rows = [(i, [] if i % 2 else rng.normal(0, 0.3, 4).astype(np.float32).tolist()) for i in range(300)]
