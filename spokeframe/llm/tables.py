@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,17 +19,42 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_NOTED: ContextVar[list[str] | None] = ContextVar("noted", default=None)
+
+
 def kept(table: DataFrame, name: str) -> DataFrame:
     """``table`` written to the shared folder and read back.
 
     A lost executor then costs a re-read of files, and values that depend on the
-    partitioning (row ids) are fixed from here on.
+    partitioning (row ids) are fixed from here on. The files stay, unless
+    someone who :func:`noted` them drops them.
     """
     path = new_path(table.sparkSession, name)
+    note = _NOTED.get()
+    if note is not None:
+        note.append(path)
     table.write.option("compression", "zstd").parquet(path)
     return table.sparkSession.read.schema(table.schema).parquet(path)
 
 
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The folders of all tables that are :func:`kept` meanwhile."""
+    paths: list[str] = []
+    before = _NOTED.set(paths)
+    try:
+        yield paths
+    finally:
+        _NOTED.reset(before)
+
+
+def dropped(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing yet to be computed needs."""
+    for path in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def free_name(table: DataFrame, wanted: str) -> str:
     """``wanted``, lengthened until no column of ``table`` has that name."""
     taken = {c.lower() for c in table.columns}
