@@ -12,12 +12,10 @@ from pyspark.sql.window import Window
 from . import cleaning
 from .cleaning import DERIVED_COLUMNS
 from .keeping import Keep, as_planned
-from .quantiles import exact_quantiles
+from .sketched import column_quantiles
 
 QUARTILES = (0.25, 0.5, 0.75)
 QUARTILE_NAMES = ("first_quartile", "median", "third_quartile")
-# Digits of a mean: those beyond depend on the order in which rows are added.
-MEAN_FORMAT = "%.12e"
 LARGEST_SPLIT = 1e38  # beyond it a value is no single-precision number
 
 
@@ -48,48 +46,53 @@ def _per_column(table: DataFrame, columns: Sequence[str], **measures: Callable[[
     return wide.select(F.explode(entries).alias("entry")).select("entry.*")
 
 
-def _mean(c: Column) -> Column:
-    """The mean to thirteen digits, however rows are spread.
+def _leading(c: Column) -> Column:
+    return c.cast("float").cast("double")
+
+
+# A mean's sums add up over shares of the rows: the leading 24 bits of each value apart from the
+# rest (the first sum is exact for values of like size, the second too small to matter beyond
+# thirteen digits), and infinite values by themselves.
+_SUMS = {
+    "leading": lambda c: F.sum(F.when(F.abs(c) < LARGEST_SPLIT, _leading(c)).otherwise(c)),
+    "rest": lambda c: F.sum(F.when(F.abs(c) < LARGEST_SPLIT, c - _leading(c)).otherwise(F.when(c.isNotNull(), 0.0))),
+    "infinite": lambda c: F.sum(F.when(F.abs(c) == float("inf"), c)),
+}
+NUMERIC = (
+    "column string, minimum double, first_quartile double, median double, mean double,"
+    " third_quartile double, maximum double, na_count bigint"
+)
 
-    The leading 24 bits of each value are added apart from the rest: the first sum is
-    exact for values of like size, and the second is too small to matter beyond.
-    """
-    splits = F.abs(c) < LARGEST_SPLIT
-    leading = c.cast("float").cast("double")
-    total = F.sum(F.when(splits, leading).otherwise(c)) + F.sum(F.when(splits, c - leading).otherwise(F.when(c.isNotNull(), 0.0)))
-    whole = F.sum(F.when(F.abs(c) == float("inf"), c))
-    mean = F.coalesce(whole, total / F.count(c))
-    return F.format_string(MEAN_FORMAT, mean).try_cast("double")
 
+def _mean_of(column: dict) -> float | None:
+    """The mean to thirteen digits, however rows are spread."""
+    if not column["n"]:
+        return None
+    whole = column["infinite"]
+    mean = whole if whole is not None else (column["leading"] + column["rest"]) / column["n"]
+    return float("%.12e" % mean)
 
-def profile_numeric(table: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+
+def profile_numeric(table: DataFrame, columns: Sequence[str] | None = None, keep: Keep = as_planned) -> DataFrame:
     """Minimum, quartiles, mean, maximum and missing count of numeric columns.
 
-    Reads ``table`` several times: give a stored table, not a costly plan.
+    Scans ``table`` twice, or once more in the rare case that a sketch's bracket misses its
+    quartile, when this is called: give a stored table, not a costly plan. ``keep`` stores
+    the second scan's counts; without it they are counted each time they are read.
     """
     columns = list(columns or columns_of(table, T.DoubleType))
+    spark = table.sparkSession
+    if not columns:
+        return spark.createDataFrame([], NUMERIC)
     # NaN is a missing value.
-    table = table.select(*[F.when(~F.isnan(c), F.col(c).cast("double")).alias(c) for c in columns])
-    ends = _per_column(
-        table,
-        columns,
-        minimum=F.min,
-        mean=_mean,
-        maximum=F.max,
-        na_count=lambda c: F.count_if(c.isNull()),
-    )
-    quartiles = exact_quantiles(long_form(table), QUARTILES)
-    # One row per column on either side.
-    name = F.get(F.array(*[F.lit(c) for c in columns]), F.col("column").cast("int"))
-    wide = quartiles.groupBy(name.alias("column")).agg(
-        *[
-            F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(name)
-            for p, name in zip(QUARTILES, QUARTILE_NAMES)
-        ]
-    )
-    return ends.join(wide, "column", "left").select(
-        "column", "minimum", *QUARTILE_NAMES[:2], "mean", QUARTILE_NAMES[2], "maximum", "na_count"
-    )
+    numbers = table.select(*[F.when(~F.isnan(c), F.col(c).cast("double")).alias(c) for c in columns])
+    parts = {name: (measure, F.sum) for name, measure in _SUMS.items()}
+    parts["missing"] = (lambda c: F.count_if(c.isNull()), F.sum)
+    found = [
+        (name, c["low"], *(c["quantiles"].get(p) for p in QUARTILES[:2]), _mean_of(c), c["quantiles"].get(QUARTILES[2]), c["high"], c["missing"] or 0)
+        for name, c in zip(columns, column_quantiles(numbers, QUARTILES, parts, keep), strict=True)
+    ]
+    return spark.createDataFrame(found, NUMERIC)
 
 
 def profile_dates(table: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

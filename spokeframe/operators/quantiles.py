@@ -38,13 +38,18 @@ def _bin(scale: Callable[[Column], Column] = lambda c: c) -> Column:
     )
 
 
+def _rows(values: DataFrame) -> Column:
+    """Number of rows, where ``values`` may stand for several each."""
+    return F.sum("rows") if "rows" in values.columns else F.count(F.lit(1))
+
+
 def _histogram(inside: DataFrame, *keys: str, number: Column | None = None) -> DataFrame:
     """Rows and extreme values per bin, with the rows before it."""
     binned = (
         inside.withColumn("bin", _bin() if number is None else number)
         .groupBy(*keys, "bin")
         .agg(
-            F.count(F.lit(1)).alias("rows"),
+            _rows(inside).alias("rows"),
             F.min("value").alias("bin_low"),
             F.max("value").alias("bin_high"),
         )
@@ -106,6 +111,15 @@ def exact_quantiles(values: DataFrame, probs: Sequence[float], passes: int = 2)
         )
     )
 
+    return ranked(present, targets, passes)
+
+
+def ranked(present: DataFrame, targets: DataFrame, passes: int = 1) -> DataFrame:
+    """The quantiles whose two neighbours are the ``targets`` among ``present`` (``column``, ``value``, perhaps ``rows``).
+
+    ``passes`` counts the one that gave the targets.
+    """
+
     def inside() -> DataFrame:
         # Two rows per column and probability: safe to broadcast.
         within = F.col("value").between(F.col("low"), F.col("high"))
@@ -115,14 +129,15 @@ def exact_quantiles(values: DataFrame, probs: Sequence[float], passes: int = 2)
     while True:
         # Two rows per column and probability: collected, so that no pass runs twice.
         brackets = targets.collect()
-        targets = values.sparkSession.createDataFrame(brackets, targets.schema)
+        targets = present.sparkSession.createDataFrame(brackets, targets.schema)
         wide = any(t["left"] > MOST_LEFT and t["low"] < t["high"] for t in brackets)
         if done >= passes and not wide:
             break
         targets = _in_bin(_histogram(inside(), *TARGET, "low", "high"))
         done += 1
 
-    counted = inside().groupBy(*TARGET, "value").agg(F.count(F.lit(1)).alias("rows"))
+    left = inside()
+    counted = left.groupBy(*TARGET, "value").agg(_rows(left).alias("rows"))
     found = _with_before(counted, "value", *TARGET).where(_holds_rank())
     neighbours = found.groupBy("column", "prob", "fraction").agg(
         F.max(F.when(~F.col("upper"), F.col("value"))).alias("below"),

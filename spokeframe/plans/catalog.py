@@ -156,11 +156,11 @@ def top_n_with_ties(tables: RideTables) -> DataFrame:
 
 
 def profile_numeric(tables: RideTables) -> DataFrame:
-    return profile.profile_numeric(tables.trips())
+    return profile.profile_numeric(tables.trips(), keep=tables.keep("trip_quartiles"))
 
 
 def profile_rides(tables: RideTables) -> DataFrame:
-    return profile.profile_numeric(tables.rides())
+    return profile.profile_numeric(tables.rides(), keep=tables.keep("ride_quartiles"))
 
 
 def profile_dates(tables: RideTables) -> DataFrame:
