@@ -50,13 +50,13 @@ def _leading(c: Column) -> Column:
     return c.cast("float").cast("double")
 
 
-# A mean's sums add up over shares of the rows: the leading 24 bits of each value apart from the
-# rest (the first sum is exact for values of like size, the second too small to matter beyond
-# thirteen digits), and infinite values by themselves.
+# A mean's sums: the leading 24 bits of each value apart from the rest (the first sum is exact for
+# values of like size, the second too small to matter beyond thirteen digits), and infinite values
+# by themselves.
 _SUMS = {
-    "leading": lambda c: F.sum(F.when(F.abs(c) < LARGEST_SPLIT, _leading(c)).otherwise(c)),
-    "rest": lambda c: F.sum(F.when(F.abs(c) < LARGEST_SPLIT, c - _leading(c)).otherwise(F.when(c.isNotNull(), 0.0))),
-    "infinite": lambda c: F.sum(F.when(F.abs(c) == float("inf"), c)),
+    "leading": lambda c: F.when(F.abs(c) < LARGEST_SPLIT, _leading(c)).otherwise(c),
+    "rest": lambda c: F.when(F.abs(c) < LARGEST_SPLIT, c - _leading(c)).otherwise(F.when(c.isNotNull(), 0.0)),
+    "infinite": lambda c: F.when(F.abs(c) == float("inf"), c),
 }
 NUMERIC = (
     "column string, minimum double, first_quartile double, median double, mean double,"
@@ -86,11 +86,9 @@ def profile_numeric(table: DataFrame, columns: Sequence[str] | None = None, keep
         return spark.createDataFrame([], NUMERIC)
     # NaN is a missing value.
     numbers = table.select(*[F.when(~F.isnan(c), F.col(c).cast("double")).alias(c) for c in columns])
-    parts = {name: (measure, F.sum) for name, measure in _SUMS.items()}
-    parts["missing"] = (lambda c: F.count_if(c.isNull()), F.sum)
     found = [
-        (name, c["low"], *(c["quantiles"].get(p) for p in QUARTILES[:2]), _mean_of(c), c["quantiles"].get(QUARTILES[2]), c["high"], c["missing"] or 0)
-        for name, c in zip(columns, column_quantiles(numbers, QUARTILES, parts, keep), strict=True)
+        (name, c["low"], *(c["quantiles"].get(p) for p in QUARTILES[:2]), _mean_of(c), c["quantiles"].get(QUARTILES[2]), c["high"], c["rows"] - c["n"])
+        for name, c in zip(columns, column_quantiles(numbers, QUARTILES, _SUMS, keep), strict=True)
     ]
     return spark.createDataFrame(found, NUMERIC)
 

@@ -10,7 +10,7 @@ does not is looked for in the gap that holds it, with one more scan.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,33 +24,26 @@ SIZE = 4096  #: of a sketch; one per column and task, some 80 KB
 MARGIN = 4 * 2.446 / SIZE**0.9433
 #: Up to so many rows all values count as inside the bracket.
 FEW = 4 * math.ceil(1 / MARGIN)
-#: Tasks that merge sketches before the last one.
-MERGERS = 64
 TARGETS = "column long, prob double, upper boolean, fraction double, rank long, low double, high double, left long"
 
 
-def summaries(table: DataFrame, probs: Sequence[float], parts: dict[str, tuple]) -> DataFrame:
-    """One row: per column ``of_<position>`` with n, low, high, bounds and ``parts``; made in one scan.
+def summaries(table: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """One row: per column ``of_<position>`` with rows, n, low, high and bounds; made in one scan.
 
-    ``table`` has double columns without NaN. A part is its measure of the column in one
-    share of the rows, and the function that adds up the shares.
+    ``table`` has double columns without NaN. The last task merges one sketch per column and task.
     """
     columns = [f"v{i}" for i in range(len(table.columns))]
-    named = table.toDF(*columns)
-    measures = {"n": (F.count, F.sum), "low": (F.min, F.min), "high": (F.max, F.max), **parts}
-    first = [m(F.col(c)).alias(f"{c}_{name}") for c in columns for name, (m, _) in measures.items()]
-    first += [F.kll_sketch_agg_double(F.col(c), F.lit(SIZE)).alias(f"{c}_sketch") for c in columns]
-    shares = named.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGERS)).alias("share")).agg(*first)
-    second = [add(f"{c}_{name}").alias(f"{c}_{name}") for c in columns for name, (_, add) in measures.items()]
-    second += [F.kll_merge_agg_double(f"{c}_sketch", F.lit(SIZE)).alias(f"{c}_sketch") for c in columns]
+    measures = {"rows": lambda _: F.count(F.lit(1)), "n": F.count, "low": F.min, "high": F.max}
     wanted = F.array(*[F.lit(min(1.0, max(0.0, p + side * MARGIN))) for p in probs for side in (-1, 1)])
+    aggregates = [m(F.col(c)).alias(f"{c}_{name}") for c in columns for name, m in measures.items()]
+    aggregates += [F.kll_sketch_agg_double(F.col(c), F.lit(SIZE)).alias(f"{c}_sketch") for c in columns]
 
     def of(c: str) -> Column:
         bounds = F.when(F.col(f"{c}_n") > FEW, F.kll_sketch_get_quantile_double(f"{c}_sketch", wanted))
         fields = [F.col(f"{c}_{name}").alias(name) for name in measures]
         return F.struct(*fields, bounds.alias("bounds")).alias(f"of_{c[1:]}")
 
-    return shares.agg(*second).select(*[of(c) for c in columns])
+    return table.toDF(*columns).agg(*aggregates).select(*[of(c) for c in columns])
 
 
 def _disjoint(brackets: list[tuple[float, float]]) -> list[tuple[float, float]]:
@@ -63,8 +56,10 @@ def _disjoint(brackets: list[tuple[float, float]]) -> list[tuple[float, float]]:
     return out
 
 
-def _counted(table: DataFrame, brackets: dict[int, list[tuple[float, float]]]) -> DataFrame:
-    """Rows per column, interval and, inside a bracket, value; one scan.
+def _counted(
+    table: DataFrame, brackets: dict[int, list[tuple[float, float]]], sums: dict[str, Callable[[Column], Column]]
+) -> DataFrame:
+    """Rows, and sums over values, per column, interval and, inside a bracket, value; one scan.
 
     Interval 2k+1 is the k-th bracket of the column, 2k what lies before it.
     """
@@ -80,24 +75,28 @@ def _counted(table: DataFrame, brackets: dict[int, list[tuple[float, float]]]) -
             F.lit(position).cast("long").alias("column"),
             F.when(value.isNotNull(), interval).cast("int").alias("interval"),
             F.when(inside, value).alias("value"),
+            *[of(value).alias(name) for name, of in sums.items()],
         )
 
     named = table.toDF(*[f"v{i}" for i in range(len(table.columns))])
     rows = named.select(F.inline(F.array(*[entry(i) for i in brackets]))).where("interval IS NOT NULL")
-    return rows.groupBy("column", "interval", "value").agg(F.count(F.lit(1)).alias("rows"))
+    added = [F.sum(name).alias(name) for name in sums]
+    return rows.groupBy("column", "interval", "value").agg(F.count(F.lit(1)).alias("rows"), *added)
 
 
 def column_quantiles(
-    table: DataFrame, probs: Sequence[float], parts: dict[str, tuple] | None = None, keep: Keep = as_planned
+    table: DataFrame, probs: Sequence[float], sums: dict[str, Callable[[Column], Column]] | None = None, keep: Keep = as_planned
 ) -> list[dict]:
-    """Per column of doubles, in order: n, low, high, ``parts``, and ``quantiles`` by probability, interpolated.
+    """Per column of doubles, in order: rows, n, low, high, the ``sums`` of functions of its
+    values, and ``quantiles`` by probability, interpolated.
 
-    NULL is missing; NaN must be. A column without values has no quantiles. The first scan
-    gives the rest; the second one's counts are handed to ``keep`` and are then read
-    several times. The jobs run when this is called, and bring back a few numbers a column.
+    NULL is missing; NaN must be. A column without values has no sums and quantiles. The
+    second scan's counts are handed to ``keep`` and are then read several times. The jobs
+    run when this is called, and bring back a few numbers a column.
     """
+    sums = sums or {}
     spark = table.sparkSession
-    found = [r.asDict() for r in summaries(table, probs, parts or {}).first()]
+    found = [r.asDict() | dict.fromkeys(sums) for r in summaries(table, probs).first()]
     brackets: dict[tuple[int, float], tuple[float, float]] = {}
     for i, column in enumerate(found):
         bounds, column["quantiles"] = column.pop("bounds"), {}
@@ -108,13 +107,19 @@ def column_quantiles(
             brackets[i, p] = (column["low"] if at_start else low, column["high"] if at_end else high)
     while brackets:
         by_column = {i: _disjoint([b for (c, _), b in brackets.items() if c == i]) for i in {c for c, _ in brackets}}
-        counted = keep(_counted(table, by_column))
+        counted = keep(_counted(table, by_column, sums))
         sizes = counted.groupBy("column", "interval").agg(
-            F.sum("rows").alias("rows"), F.count("value").alias("values"), F.min("value").alias("low"), F.max("value").alias("high")
+            F.sum("rows").alias("rows"), F.count("value").alias("values"), F.min("value").alias("low"), F.max("value").alias("high"),
+            *[F.sum(name).alias(name) for name in sums],
         )
         intervals: dict[int, list] = {i: [] for i in by_column}
         for r in sorted(sizes.collect(), key=lambda r: (r["column"], r["interval"])):  # a few per column
             intervals[r["column"]].append(r)
+        for i, own in intervals.items():
+            for name in sums:
+                known = [r[name] for r in own if r[name] is not None]
+                found[i][name] = sum(known) if known else None
+        sums = {}
         targets, missed = [], {}
         for i, p in brackets:
             position = (found[i]["n"] - 1) * p
