@@ -63,25 +63,27 @@ def _counted(
 
     Interval 2k+1 is the k-th bracket of the column, 2k what lies before it.
     """
-
-    def entry(position: int) -> Column:
-        value = F.col(f"v{position}")
-        inside, interval = F.lit(False), F.lit(2 * len(brackets[position]))
-        for k, (low, high) in reversed(list(enumerate(brackets[position]))):
-            here = value.between(low, high)
-            inside = inside | here
-            interval = F.when(value < low, 2 * k).when(here, 2 * k + 1).otherwise(interval)
-        return F.struct(
-            F.lit(position).cast("long").alias("column"),
-            F.when(value.isNotNull(), interval).cast("int").alias("interval"),
-            F.when(inside, value).alias("value"),
-            *[of(value).alias(name) for name, of in sums.items()],
-        )
-
+    most = max(map(len, brackets.values()))
+    never = float("nan")  # sorts after all other numbers
+    edges = [(i, *[edge for b in own for edge in b], *[never] * (2 * (most - len(own)))) for i, own in brackets.items()]
+    names = [f"edge_{k}" for k in range(2 * most)]
+    schema = "column long, " + ", ".join(f"{name} double" for name in names)
+    # One row per column: safe to broadcast.
+    edges = F.broadcast(table.sparkSession.createDataFrame(edges, T.StructType.fromDDL(schema)))
     named = table.toDF(*[f"v{i}" for i in range(len(table.columns))])
-    rows = named.select(F.inline(F.array(*[entry(i) for i in brackets]))).where("interval IS NOT NULL")
+    entries = [F.struct(F.lit(i).cast("long").alias("column"), F.col(f"v{i}").alias("number")) for i in brackets]
+    number = F.col("number")
+    passed = [number >= F.col(name) if k % 2 == 0 else number > F.col(name) for k, name in enumerate(names)]
+    interval = sum((p.cast("int") for p in passed[1:]), passed[0].cast("int"))
+    rows = named.select(F.inline(F.array(*entries))).where(number.isNotNull()).join(edges, "column")
+    counted = rows.select(
+        "column",
+        interval.alias("interval"),
+        F.when(interval % 2 == 1, number).alias("value"),
+        *[of(number).alias(name) for name, of in sums.items()],
+    )
     added = [F.sum(name).alias(name) for name in sums]
-    return rows.groupBy("column", "interval", "value").agg(F.count(F.lit(1)).alias("rows"), *added)
+    return counted.groupBy("column", "interval", "value").agg(F.count(F.lit(1)).alias("rows"), *added)
 
 
 def column_quantiles(
