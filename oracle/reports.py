@@ -274,6 +274,7 @@ def _stations() -> None:
         )
         order = f"ORDER BY total_rides DESC, {name}"
         REPORTS[table] = over_rides(f"{body} {order} LIMIT {limit}")
+        REPORTS[f"merged_{table}"] = REPORTS[table]
         REPORTS[f"{table}_short"] = over_rides(f"{body} {order} LIMIT 25")
         REPORTS[f"{table}_over_500"] = over_rides(f"SELECT * FROM ({body}) WHERE total_rides > 500")
         REPORTS[f"sink_{table}"] = over_rides(

@@ -164,7 +164,12 @@ def _pick_key() -> Column:
 
 
 def representative_points(rides: DataFrame, side: str, keep: Keep = as_planned) -> DataFrame:
-    """Coordinates of the ride that stands for each station, overall and per rider type.
+    """Coordinates of the ride that stands for each station, overall and per rider type."""
+    return points_of(least_rides(rides, side, keep), side)
+
+
+def least_rides(rides: DataFrame, side: str, keep: Keep = as_planned) -> DataFrame:
+    """Per station and rider type the ride that comes first in PICK_ORDER, with its coordinates.
 
     Two scans: the first finds each station's least length and distance, the
     second looks at the rides that have them. ``keep`` stores the small result of
@@ -183,8 +188,13 @@ def representative_points(rides: DataFrame, side: str, keep: Keep = as_planned)
     )
     candidates = candidates.join(shortest, is_shortest, "left_semi")
     ride = F.struct(*PICK_ORDER, F.col(f"{side}_lat").alias("lat"), F.col(f"{side}_lng").alias("lng"))
-    per_user = candidates.groupBy(station, "member_casual").agg(F.min(ride).alias("ride"))
-    overall = per_user.groupingSets(
+    return candidates.groupBy(station, "member_casual").agg(F.min(ride).alias("ride"))
+
+
+def points_of(least: DataFrame, side: str) -> DataFrame:
+    """Coordinates from :func:`least_rides`, of any number of parts of the rides."""
+    station = station_column(side)
+    overall = least.groupingSets(
         [[F.col(station), F.col("member_casual")], [F.col(station)]], station, "member_casual"
     ).agg(F.min("ride").alias("ride"), F.grouping("member_casual").alias("is_all"))
     group = F.when(F.col("is_all") == 1, ALL_RIDERS).otherwise(F.col("member_casual"))
@@ -195,8 +205,11 @@ def station_activity(
     rides: DataFrame, side: str, user_types: Sequence[str] = USER_TYPES, keep: Keep = as_planned
 ) -> DataFrame:
     """Distinct rides and a map position per station and rider group."""
-    counted = distinct_rides(rides, side, user_types)
-    points = representative_points(rides, side, keep)
+    return with_points(distinct_rides(rides, side, user_types), representative_points(rides, side, keep), side)
+
+
+def with_points(counted: DataFrame, points: DataFrame, side: str) -> DataFrame:
+    """Counts per station and rider group with the group's point."""
     return counted.join(points, [station_column(side), "rider_group"], "left")
 
 

@@ -125,6 +125,10 @@ def _map_table(side: str, **options) -> Report:
     return lambda tables: stations.busiest(tables.activity(side), side, **options)
 
 
+def _merged_map_table(side: str, **options) -> Report:
+    return lambda tables: stations.busiest(tables.merged_activity(side), side, **options)
+
+
 def _map_table_csv(name: str) -> Report:
     options = stations.MAP_TABLES[name]
 
@@ -244,6 +248,7 @@ REPORTS: dict[str, Report] = {
         f"{name}_over_500": _map_table(**{**options, "max_rows": None, "min_rides": stations.MAP_MIN_RIDES})
         for name, options in stations.MAP_TABLES.items()
     },
+    **{f"merged_{name}": _merged_map_table(**options) for name, options in stations.MAP_TABLES.items()},
     **{f"sink_{name}": _map_table_csv(name) for name in stations.MAP_TABLES},
     # Profiles and checks
     "profile_numeric": profile_numeric,

@@ -7,6 +7,8 @@
 ``<side>_counts``         rides per station, rider type and month; one scan
 ``<side>_activity``       distinct rides and map position per station; one
                           shuffle of station and ride id, two scans
+``station_states``        the same from mergeable states of the first eleven
+                          months and of the last one, added apart
 ========================  =====================================================
 
 Facts, counts and activity are bounded by the number of categories or stations,
@@ -27,8 +29,11 @@ from ..operators.keeping import Keep
 from ..schema import MONTHS, TIME_COLUMNS
 from ..sinks import write_csv
 from ..sources import month_paths, read_trips, trips_from_lineitem
+from .station_store import StationStates
 from .store import stored, written_once
 
+LAST_MONTH = f"{len(MONTHS):02d}"
+
 
 @dataclass(frozen=True)
 class RideTables:
@@ -93,6 +98,17 @@ class RideTables:
             lambda: stations.station_activity(self.rides(), side, keep=self.keep(f"{side}_shortest")),
         )
 
+    def merged_activity(self, side: str) -> DataFrame:
+        """As :meth:`activity`, from states that were added part by part."""
+        path, _ = written_once(self.spark, self.source, "station_states", self._add_states)
+        return StationStates(self.spark, path).activity(side)
+
+    def _add_states(self, path: str) -> None:
+        states, rides = StationStates(self.spark, path), self.rides()
+        last = F.col("month").eqNullSafe(LAST_MONTH)
+        states.add("first", rides.where(~last), keep=self.keep("first_shortest"))
+        states.add("last", rides.where(last), keep=self.keep("last_shortest"))
+
     def csv_round_trip(
         self, name: str, table: DataFrame, write: Callable[[DataFrame, str], None] = write_csv
     ) -> DataFrame:
