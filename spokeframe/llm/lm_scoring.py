@@ -15,7 +15,9 @@ Counting goes level by level, words first:
   the totals and a number for every n-gram. An n-gram of the next level is the pair of
   the numbers of its two halves, so no n-gram is ever taken for another.
 * An n-gram that no other block has needs no question about what extends it: the block
-  has those counts itself. Most rare n-grams stop there.
+  has those counts itself. Most rare n-grams stop there, with one bit as their answer.
+* Answers move to their block once, into a table bucketed by block like the blocks; all
+  later steps read both side by side.
 
 An n-gram is one entry per block however often it occurs, so a frequent one is no hot
 spot, and what is gathered grows with the distinct n-grams of the corpus.
@@ -56,8 +58,8 @@ BLOCK = (
     " asks array<struct<bucket:long,n:int,left:binary,right:binary,train:binary,held:binary>>"
 )
 ASKED = "block long, bucket long, n int, left binary, right binary, train binary, held binary"
-REPLIES = "block long, level int, bucket long, types long, train binary, held binary, number binary, alone binary"
-REPLIED = ("level", "bucket", "train", "held", "number", "alone")
+REPLIES = "block long, level int, bucket long, types long, n int, alone binary, train binary, held binary, number binary"
+REPLIED = ("level", "bucket", "n", "alone", "train", "held", "number")
 TRAIN, HELD, OUT = 0, 1, 2  #: a document's role: counted, counted and held out for the weights, only scored
 
 
@@ -217,23 +219,21 @@ class _Asked:
         columns = list(zip(*out, strict=True)) or [()] * len(_ASKED)
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, _ASKED, strict=True)], schema=_ASKED)
 
-    def answered(self, replies: tuple[np.ndarray, ...]) -> _Level:
+    def answered(self, replies: list) -> _Level:
+        """``replies``: per bucket how many n-grams were asked about, which no other block has, and what the rest got."""
         train, held, number = self.train.astype(np.int64), self.held.astype(np.int64), np.zeros(len(self.train), np.uint64)
-        settled = np.ones(len(self.train), bool)
-        train[self.order], held[self.order], number[self.order], settled[self.order] = replies
+        settled, at = np.ones(len(self.train), bool), 0
+        for _, (n, alone, *totals) in sorted(replies, key=lambda reply: reply[0]):
+            own = np.unpackbits(np.frombuffer(alone, np.uint8), count=n).astype(bool)
+            shared = self.order[at : at + n][~own]
+            settled[shared] = False
+            train[shared], held[shared] = (from_planes(x, "<i8") for x in totals[:2])
+            if totals[2]:
+                number[shared] = rising_from_planes(totals[2])
+            at += n
         return _Level(self.codes, train, held, number, settled)
 
 
-def _replied(found: list) -> tuple[np.ndarray, ...]:
-    """Totals in training and in the fold, numbers, and which no other block has, in the order of the questions."""
-    none = [np.zeros(0, np.uint64)]
-    data = [d for _, d in sorted(found)]
-    numbers = [rising_from_planes(d[2]) for d in data]
-    alone = [np.unpackbits(np.frombuffer(d[3], np.uint8), count=len(n)) for d, n in zip(data, numbers, strict=True)]
-    totals = (np.concatenate([from_planes(d[k], "<u8") for d in data] or none) for k in (0, 1))
-    return (*totals, np.concatenate(numbers or none), np.concatenate(alone or none).astype(bool))
-
-
 class _Block:
     """A block's tokens, each document with a beginning before it, and the levels answered so far."""
 
@@ -246,7 +246,8 @@ class _Block:
         starts = np.cumsum(self.sizes + 1) - self.sizes - 1
         seq = np.empty(int(self.sizes.sum()) + len(starts), np.int64)
         self.place = np.arange(len(seq)) - np.repeat(starts, self.sizes + 1)
-        seq[self.place > 0] = from_planes(first["tokens"], "<u4")
+        tokens = from_planes(first["tokens"], "<u4").astype(np.int64)
+        seq[self.place > 0] = tokens
         seq[self.place == 0] = words
         self.doc = np.repeat(np.arange(len(starts)), self.sizes + 1)
         self.role = self.roles.astype(np.int64)[self.doc]
@@ -254,12 +255,15 @@ class _Block:
         told: dict[int, list] = {level: [] for level in range(1, answered + 1)}
         for level, bucket, *data in zip(*(replies.column(c).to_pylist() for c in REPLIED), strict=True):
             told[level].append((bucket, data))
-        if answered:  # number 0 is the beginning, counted once a document
-            beginning = (*begun, np.uint64(0), False)
-            totals = [np.append(x, y) for x, y in zip(_replied(told[1]), beginning, strict=True)]
-            self.levels.append(_Level(seq, *(x.astype(np.int64) for x in totals[:2]), *totals[2:]))
+        if answered:
+            own = _counts_by_role(tokens, self.role[self.place > 0], words)
+            none = np.zeros(0, np.uint64)
+            level = _Asked(seq, *own, np.arange(words), none, none, none).answered(told[1])
+            beginning = (*begun, np.uint64(0), False)  # number 0, counted once a document
+            totals = (level.train, level.held, level.number, level.settled)
+            self.levels.append(_Level(seq, *(np.append(x, y) for x, y in zip(totals, beginning, strict=True))))
         for level in range(2, answered + 1):
-            self.levels.append(self.next_level().answered(_replied(told[level])))
+            self.levels.append(self.next_level().answered(told[level]))
 
     def next_level(self) -> _Asked:
         """The pairs of neighbouring n-grams of the last level."""
@@ -316,8 +320,11 @@ def _bucket(left: np.ndarray, right: np.ndarray, buckets: int) -> np.ndarray:
 # Buckets -----------------------------------------------------------------------
 
 
-def _answer(level: int, buckets: int):
-    """Adds up the blocks' counts of a bucket's n-grams; totals and numbers go back to each block."""
+def _answer(level: int, buckets: int, last: bool):
+    """Adds up the blocks' counts of a bucket's n-grams.
+
+    Each block gets the totals of those that another block has too, and their numbers unless this level is the ``last``.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         forget()
@@ -337,15 +344,17 @@ def _answer(level: int, buckets: int):
         totals = []
         for name in ("train", "held"):
             own = np.concatenate([from_planes(x, "<u4") for x in table.column(name).to_pylist()])
-            totals.append(np.bincount(group, own, len(order)).astype(np.uint64))
+            totals.append(np.bincount(group, own, len(order)).astype(np.int64))
         number = np.empty(len(order), np.uint64)
         number[order] = np.arange(len(order), dtype=np.uint64) * np.uint64(buckets) + np.uint64(bucket + 1)
         known, alone = int((totals[0] > 0).sum()), np.bincount(group, minlength=len(order)) == 1
         out, at = [], 0
         for k, (block, n) in enumerate(zip(table.column("block").to_pylist(), sizes, strict=True)):
             of = group[at : at + n]
-            told = (to_planes(totals[0][of]), to_planes(totals[1][of]), rising_to_planes(number[of]), np.packbits(alone[of]).tobytes())
-            out.append((block, level, bucket, 0 if k else known, *told))
+            own = alone[of]
+            shared = of[~own]
+            told = (to_planes(totals[0][shared]), to_planes(totals[1][shared]), b"" if last else rising_to_planes(number[shared]))
+            out.append((block, level, bucket, 0 if k else known, n, np.packbits(own).tobytes(), *told))
             at += n
         columns = zip(*out, strict=True)
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, _REPLIES, strict=True)], schema=_REPLIES)
@@ -456,7 +465,7 @@ def scored(
     about = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, 1 << math.ceil(math.log2(max(1, about / 6 / bucket_keys))))
 
-    name = f"spokeframe_blocks_{uuid.uuid4().hex}"
+    name, replies = (f"spokeframe_{kind}_{uuid.uuid4().hex}" for kind in ("blocks", "replies"))
     (
         rows.mapInArrow(_into_blocks(block_chars, buckets), BLOCK)
         .write.bucketBy(shuffle_partitions(spark), "block")
@@ -465,12 +474,14 @@ def scored(
         .saveAsTable(name)
     )
     try:
-        return _scored(spark.table(name), order, buckets)
+        return _scored(spark.table(name), replies, order, buckets)
     finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        for table in (name, replies):
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 
-def _scored(table: DataFrame, order: int, buckets: int) -> DataFrame:
+def _scored(table: DataFrame, name: str, order: int, buckets: int) -> DataFrame:
+    """``name`` is that of the table of answers, to be made here."""
     spark = table.sparkSession
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -494,13 +505,18 @@ def _scored(table: DataFrame, order: int, buckets: int) -> DataFrame:
         return read.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, schema)
 
     words = table.select("block", F.explode("asks").alias("ask")).select("block", "ask.*")
-    replies = None
+    tasks, path = shuffle_partitions(spark), new_path(spark, "lm-replies")
     for level in range(1, order + 1):
-        asked = words if level == 1 else with_blocks(replies, level - 1, lambda b: b.next_level().rows(b.number), ASKED)
-        found = kept(asked.groupBy("bucket").applyInArrow(_answer(level, buckets), REPLIES), f"lm-level-{level}")
+        asked = words
+        if level > 1:
+            asked = with_blocks(spark.table(name), level - 1, lambda b: b.next_level().rows(b.number), ASKED)
+        found = asked.groupBy("bucket").applyInArrow(_answer(level, buckets, level == order), REPLIES)
+        # One file per bucket and level; what was answered before is not written again.
+        writer = found.repartition(tasks, "block").write.mode("append").option("compression", "none")
+        writer.bucketBy(tasks, "block").option("path", path).saveAsTable(name)
         if level == 1:
-            types = found.agg(F.sum("types")).first()[0] or 0
-        replies = found if replies is None else replies.unionByName(found)
+            types = spark.table(name).agg(F.sum("types")).first()[0] or 0
+    replies = spark.table(name)
 
     def fold_tokens(block: _Block) -> pa.Table:
         _, kind, share = block.estimates(True, n_tokens - held_tokens)
