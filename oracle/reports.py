@@ -94,6 +94,7 @@ def _summaries() -> None:
             f"{AVG_KM} AS average_ride_distance",
         ),
     )
+    REPORTS["appended_months"] = REPORTS["user_type_monthly_calc"]
     monthly_share = (
         f"SELECT *, CASE WHEN {KNOWN_USER} THEN {share('number_of_rides', 'month')} END AS percentage "
         f"FROM ({grouped('member_casual, month', f'{N} AS number_of_rides')})"
@@ -365,6 +366,11 @@ def _profiles() -> None:
         f"count(*) FILTER ({lost_place}) AS missing_latitudes, "
         f"count(*) FILTER (NOT ({lost_name}) AND NOT {lost_place} AND end_lng IS NOT NULL) AS complete_rows FROM trips"
     )
+    REPORTS["timestamp_forms"] = over_trips(
+        "SELECT CAST(day(started_at) % 6 AS INTEGER) AS form, count(*) AS rows, "
+        "count(*) FILTER (day(started_at) % 6 < 4) AS read, count(*) FILTER (day(started_at) % 6 >= 4) AS rejected "
+        "FROM trips WHERE started_at IS NOT NULL GROUP BY ALL"
+    )
     REPORTS["has_duplicate_rows"] = over_complete(
         "SELECT count(*) > 0 AS has_duplicates FROM "
         f"(SELECT 1 FROM complete GROUP BY {SOURCE_COLUMNS} HAVING count(*) > 1)"

@@ -19,9 +19,10 @@ FACT_KEYS = ("month", "day_of_week", "day_index", "hour", "rideable_type", "memb
 FACT_SUMS = ("rides", "length_hundredths", "distance_hundredths")
 
 
-def facts(rides: DataFrame) -> DataFrame:
-    """One fact row per ride."""
+def facts(rides: DataFrame, *by: str) -> DataFrame:
+    """One fact row per ride, with the columns ``by`` of the ride."""
     return rides.select(
+        *by,
         "month",
         "day_of_week",
         "day_index",
@@ -34,10 +35,14 @@ def facts(rides: DataFrame) -> DataFrame:
     )
 
 
-def rollup(rides: DataFrame) -> DataFrame:
-    """Facts summed over every combination of the keys."""
-    sums = [F.sum(c).alias(c) for c in FACT_SUMS]
-    return facts(rides).groupBy(*FACT_KEYS).agg(*sums)
+def rollup(rides: DataFrame, *by: str) -> DataFrame:
+    """Facts summed over every combination of the keys, and of the columns ``by``."""
+    return merged(facts(rides, *by), *by)
+
+
+def merged(facts: DataFrame, *by: str) -> DataFrame:
+    """Facts of several parts as facts of the whole."""
+    return facts.groupBy(*by, *FACT_KEYS).agg(*[F.sum(c).alias(c) for c in FACT_SUMS])
 
 
 def ride_count() -> Column:

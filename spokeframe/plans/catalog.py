@@ -9,6 +9,7 @@ from operator import and_
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.calendar import parse_timestamp
 from ..operators import charts, cleaning, profile, stations, summaries
 from ..schema import RIDE_COLUMNS, SOURCE_COLUMNS, TIME_COLUMNS
 from ..sinks import write_csv, write_ranked_csv
@@ -20,6 +21,15 @@ Report = Callable[[RideTables], DataFrame]
 
 IDENTITY = ("ride_id", "started_at", "ended_at")
 INSPECT_ROWS = 6
+# The last two are no timestamps here: the day comes first, or separators are mixed.
+TIMESTAMP_FORMS = (
+    "yyyy-MM-dd HH:mm:ss",
+    "yyyy/M/d H:m:s",
+    "yyyy.MM.dd HH.mm.ss",
+    "yyyyMMdd'T'HHmmss'Z'",
+    "dd/MM/yyyy HH:mm:ss",
+    "yyyy/MM-dd HH:mm:ss",
+)
 # Limits that bind on the test data, which has fewer stations than the map limits.
 SHORT_MAP_ROWS = 25
 
@@ -75,6 +85,27 @@ def missing_value_rule(tables: RideTables) -> DataFrame:
     )
 
 
+def appended_months(tables: RideTables) -> DataFrame:
+    """The monthly table after the last month's files were added to those of the others."""
+    months = tables.month_files()
+    RideTables.from_files(tables.spark, months[:-1]).facts()
+    return summaries.user_type_monthly_calc(RideTables.from_files(tables.spark, months).facts())
+
+
+def timestamp_forms(tables: RideTables) -> DataFrame:
+    """Trip starts written in several forms, and how many of each are read back as they were."""
+    start = F.col("started_at")
+    form = F.dayofmonth(start) % len(TIMESTAMP_FORMS)
+    text = F.element_at(F.array(*[F.date_format(start, p) for p in TIMESTAMP_FORMS]), form + 1)
+    written = tables.trips().where(start.isNotNull()).select(form.alias("form"), start, text.alias("text"))
+    back = written.withColumn("back", parse_timestamp(F.col("text")))
+    return back.groupBy("form").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col("back").eqNullSafe(start)).alias("read"),
+        F.count_if(F.col("back").isNull()).alias("rejected"),
+    )
+
+
 def trips_calendar(tables: RideTables) -> DataFrame:
     text = cleaning.drop_incomplete(read_trips(tables.spark, tables.month_files()))
     dated = cleaning.add_calendar(cleaning.parse_times(text))
@@ -198,6 +229,8 @@ REPORTS: dict[str, Report] = {
     "trips_union_all": trips_union_all,
     "missing_value_rule": missing_value_rule,
     "trips_drop_na": trips_drop_na,
+    "appended_months": appended_months,
+    "timestamp_forms": timestamp_forms,
     "trips_calendar": trips_calendar,
     "trips_ride_length": trips_ride_length,
     "trips_ride_distance": trips_ride_distance,

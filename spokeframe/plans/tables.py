@@ -4,6 +4,7 @@
 ``trips``                 trip records as delivered, out of CSV; map-only
 ``clean_rides``           cleaned rides; one map-only pass over the trips
 ``ride_facts``            additive rollup for all summaries; one scan
+                          (both are kept per file where trips come from files)
 ``<side>_counts``         rides per station, rider type and month; one scan
 ``<side>_activity``       distinct rides and map position per station; one
                           shuffle of station and ride id, two scans
@@ -17,6 +18,7 @@ so each report read off them costs next to nothing at any input size.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -28,9 +30,10 @@ from ..operators import cleaning, measures, stations
 from ..operators.keeping import Keep
 from ..schema import MONTHS, TIME_COLUMNS
 from ..sinks import write_csv
-from ..sources import month_paths, read_trips, trips_from_lineitem
+from ..sources import SourceFile, list_files, month_paths, read_trips, trips_from_lineitem
+from . import file_parts
 from .station_store import StationStates
-from .store import stored, written_once
+from .store import scratch_folder, stored, written_once
 
 LAST_MONTH = f"{len(MONTHS):02d}"
 
@@ -40,13 +43,16 @@ class RideTables:
     """The shared tables of one trip source.
 
     ``source`` tells sources apart in the store; ``read`` gives the trip records
-    and ``month_files`` the paths of the monthly CSV files.
+    and ``month_files`` the paths of the monthly CSV files. ``files`` are the files
+    that trips come from, as they were when the source was named: name it again after
+    a file was added or rewritten, and only that file is cleaned and rolled up.
     """
 
     spark: SparkSession
     source: str
     read: Callable[[], DataFrame]
     month_files: Callable[[], list[str]]
+    files: tuple[SourceFile, ...] = ()
 
     @classmethod
     def from_csv(cls, spark: SparkSession, folder: str) -> RideTables:
@@ -56,7 +62,9 @@ class RideTables:
     @classmethod
     def from_files(cls, spark: SparkSession, paths: list[str]) -> RideTables:
         """Any CSV files or folders of files with a trip header."""
-        return cls(spark, "|".join(paths), lambda: read_trips(spark, paths), lambda: paths)
+        files = tuple(list_files(spark, paths))
+        versions = hashlib.sha256(repr((paths, files)).encode()).hexdigest()
+        return cls(spark, versions, lambda: read_trips(spark, paths), lambda: paths, files)
 
     @classmethod
     def from_lineitem(cls, spark: SparkSession, sf_dir: str) -> RideTables:
@@ -84,9 +92,16 @@ class RideTables:
         return self.stored("trips", self.read)
 
     def rides(self) -> DataFrame:
+        if self._by_file():
+            return file_parts.clean_rides(self.spark, self.files)
         return self.stored("clean_rides", lambda: cleaning.clean_rides(self.trips()))
 
+    def _by_file(self) -> bool:
+        return bool(self.files) and scratch_folder(self.spark) is not None
+
     def facts(self) -> DataFrame:
+        if self._by_file():
+            return self.stored("ride_facts", lambda: file_parts.ride_facts(self.spark, self.files))
         return self.stored("ride_facts", lambda: measures.rollup(self.rides()))
 
     def counts(self, side: str) -> DataFrame:

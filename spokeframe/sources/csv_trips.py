@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterable
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,13 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import COORDINATE_COLUMNS, MONTHS, SOURCE_COLUMNS
+from .listing import SourceFile, headers, list_files
 
 # How the files spell a missing value and name themselves.
 MISSING_TEXT = "NA"
 MONTH_FILES = tuple(f"{month}_trips.csv" for month in MONTHS)
 
-HEADER_READERS = 12
-
 
 def month_paths(folder: str) -> list[str]:
     """The twelve monthly files of a folder, in calendar order."""
@@ -71,37 +69,38 @@ def read_trips(
     """All rows of the given files, columns matched by header name.
 
     Files that share a header are one scan, so twelve months of the same layout
-    are one set of splits rather than twelve. All files of a folder must have the
-    same header, or reading fails; give files with other headers as paths of their
-    own. ``source_column`` adds the path
+    are one set of splits rather than twelve. Files of one folder may order their
+    columns differently; which columns there are must be the same everywhere. A file
+    without a line gives no rows. ``source_column`` adds the path
     each row came from. ``multiline`` allows line breaks inside quotes at the
     price of one task per file.
     """
     paths = list(paths)
     if not paths:
         raise ValueError("no trip files given")
-    by_header: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    with ThreadPoolExecutor(min(len(paths), HEADER_READERS)) as pool:
-        # Reads the header line only: without type inference no data is scanned.
-        headers = pool.map(lambda path: tuple(_reader(spark, multiline).csv(path).columns), paths)
-        for path, header in zip(paths, headers):
-            by_header[header].append(path)
-    headers = list(by_header)
-    for header in headers:
+    by_header: dict[tuple[str, ...], list[SourceFile]] = defaultdict(list)
+    for file, header in headers(spark, list_files(spark, paths)).items():
+        by_header[header].append(file)
+    if not by_header:
+        raise ValueError("no trip files with a header")
+    known = list(by_header)
+    for header in known:
         missing = set(SOURCE_COLUMNS) - set(header)
         if missing:
-            raise ValueError(f"{by_header[header][0]} lacks {sorted(missing)}")
-        if set(header) != set(headers[0]):
-            raise ValueError(f"{by_header[header][0]} differs in columns from {by_header[headers[0]][0]}")
+            raise ValueError(f"{by_header[header][0].path} lacks {sorted(missing)}")
+        if set(header) != set(known[0]):
+            raise ValueError(f"{by_header[header][0].path} differs in columns from {by_header[known[0]][0].path}")
 
     def scan(header: tuple[str, ...]) -> DataFrame:
         text = T.StructType([T.StructField(name, T.StringType()) for name in header])
-        rows = _reader(spark, multiline).schema(text).csv(by_header[header])
+        # With one layout the paths as given are a shorter plan than all files.
+        of = paths if len(known) == 1 else [file.literal() for file in by_header[header]]
+        rows = _reader(spark, multiline).schema(text).csv(of)
         if source_column is None:
             return normalize_missing(rows)
         return normalize_missing(rows.select("*", F.col("_metadata.file_path").alias(source_column)))
 
-    return append_all(scan(header) for header in headers)
+    return append_all(scan(header) for header in known)
 
 
 def append_all(tables: Iterable[DataFrame]) -> DataFrame:

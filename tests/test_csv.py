@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import gzip
 from datetime import datetime
 
 import pytest
@@ -131,13 +132,22 @@ def test_csv_round_trip(spark, tmp_path):
     assert sorted(back.collect()) == sorted(table.collect())
 
 
-def test_a_folder_of_mixed_headers_is_an_error(spark, tmp_path):
+def test_headers_are_matched_inside_a_folder(spark, tmp_path):
     from spokeframe.schema import SOURCE_COLUMNS
     from spokeframe.sources import read_trips
 
     for name, columns in (("a", list(SOURCE_COLUMNS)), ("b", list(reversed(SOURCE_COLUMNS)))):
         (tmp_path / f"{name}.csv").write_text(",".join(columns) + "\n" + ",".join(f"v{c}" for c in columns) + "\n")
-    with pytest.raises(Exception, match="(?i)header"):
-        read_trips(spark, [str(tmp_path)]).collect()
-    found = read_trips(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]).collect()
-    assert {(r.start_station_name, r.end_station_name) for r in found} == {("vstart_station_name", "vend_station_name")}
+    (tmp_path / "empty.csv").write_text("")
+    for paths in ([str(tmp_path)], [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]):
+        found = read_trips(spark, paths).collect()
+        stations = [(r.start_station_name, r.end_station_name) for r in found]
+        assert stations == [("vstart_station_name", "vend_station_name")] * 2
+
+
+def test_headers_of_compressed_and_oddly_named_files(spark, tmp_path):
+    lines = ",".join(HEADER) + "\n" + ",".join(line("zipped").values()) + "\n"
+    (tmp_path / "a.csv.gz").write_bytes(gzip.compress(lines.encode()))
+    write(tmp_path / "b [1] {x} 100%.csv", [line("odd")], HEADER[::-1])
+    found = {r.ride_id: r.start_station_name for r in read_trips(spark, [str(tmp_path)]).collect()}
+    assert found == {"zipped": "A", "odd": "A"}

@@ -89,3 +89,49 @@ def test_clock_changes_do_not_matter(spark, zone):
         assert (seconds, hour) == (2700.5, 2)
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "2022-03-05 08:07:09",
+        "2022-3-5T8:7:9",
+        "2022/03/05 08:07:09",
+        "2022.03.05 08.07.09",
+        " 2022_03_05  08-07-09 ",
+        "2022/3/5, 8:7:9",
+        "2022-03-05T08:07:09Z",
+        "20220305 080709",
+        "20220305T080709Z",
+        "20220305080709",
+    ],
+)
+def test_timestamps_with_other_separators(spark, text):
+    assert one(spark, calendar.parse_timestamp, text, "string") == datetime(2022, 3, 5, 8, 7, 9)
+
+
+def test_fractions_of_seconds_are_kept(spark):
+    for text in ("2022/03/05 08:07:09.25", "20220305080709.25"):
+        assert one(spark, calendar.parse_timestamp, text, "string") == datetime(2022, 3, 5, 8, 7, 9, 250000)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        None,
+        "",
+        "2022/03-05 08:07:09",
+        "05/03/2022 08:07:09",
+        "2022/02/30 08:07:09",
+        "20220230080709",
+        "2022/03/05 24:07:09",
+        "2022/03/05",
+        "2022/03/05 08:07",
+        "202235 8709",
+        "2022305080709",
+        "2022-03-05 08:07:09+02:00",
+        "2022-03-05 08:07:09 PM",
+    ],
+)
+def test_what_is_no_timestamp(spark, text):
+    assert one(spark, calendar.parse_timestamp, text, "string") is None
