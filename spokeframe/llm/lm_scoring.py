@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from ..plans.store import new_path
 from .planes import from_planes, grow, rising_from_planes, rising_to_planes, shrink, to_planes
-from .tables import column, fold, kept, read_table, shuffle_partitions
+from .tables import column, fold, kept, read_table, shuffle_partitions, shuffles_cleared
 from .workers import forget
 
 ORDER = 3
@@ -54,7 +54,7 @@ ENOUGH = 1e-6  #: gain in log-likelihood, as a share of it, at which the rounds
 FREQUENCIES = 40  #: classes of context frequency, by powers of two
 
 BLOCK = (
-    "block long, doc_ids array<long>, roles binary, sizes binary, tokens binary, n_words int,"
+    "block long, doc_ids array<long>, roles binary, sizes binary, tokens binary, frequent binary, n_words int,"
     " asks array<struct<bucket:long,n:int,left:binary,right:binary,train:binary,held:binary>>"
 )
 ASKED = "block long, bucket long, n int, left binary, right binary, train binary, held binary"
@@ -78,6 +78,7 @@ _BLOCK = pa.schema(
         ("roles", pa.binary()),
         ("sizes", pa.binary()),
         ("tokens", pa.binary()),
+        ("frequent", pa.binary()),
         ("n_words", pa.int32()),
         ("asks", pa.list_(pa.struct(list(_ASK)))),
     ]
@@ -146,7 +147,10 @@ def _order(*columns: np.ndarray) -> np.ndarray:
 
 
 def _block_row(number: int, docs: list, roles: list, texts: list, buckets: int) -> pa.RecordBatch:
-    """Tokens as places in the block's vocabulary, which is sorted by bucket and word."""
+    """Tokens as places in the block's vocabulary, which is sorted by bucket and word.
+
+    They are stored as ranks by frequency, most of whose high bytes are zero.
+    """
     words, sizes = tokens_of(texts)
     coded = words.dictionary_encode()
     by_word = pc.sort_indices(coded.dictionary)
@@ -163,7 +167,11 @@ def _block_row(number: int, docs: list, roles: list, texts: list, buckets: int)
     for (a, b), text in zip(stretches, parts, strict=True):
         counted = (to_planes(x[a:b].astype("<u4")) for x in (train, held))
         asks.append(dict(zip(_ASK.names, (int(bucket[by_bucket[a]]), b - a, shrink(text), b"", *counted), strict=True)))
-    row = (number, docs, bytes(roles), to_planes(sizes.astype("<u4")), to_planes(tokens.astype("<u4")), len(spelled), asks)
+    frequent = np.argsort(-np.bincount(tokens, minlength=len(spelled)), kind="stable")
+    by_rank = np.empty(len(spelled), np.int64)
+    by_rank[frequent] = np.arange(len(spelled))
+    packed = (to_planes(x.astype("<u4")) for x in (sizes, by_rank[tokens], frequent))
+    row = (number, docs, bytes(roles), *packed, len(spelled), asks)
     return pa.RecordBatch.from_pydict({f.name: [v] for f, v in zip(_BLOCK, row, strict=True)}, schema=_BLOCK)
 
 
@@ -238,7 +246,7 @@ class _Block:
     """A block's tokens, each document with a beginning before it, and the levels answered so far."""
 
     def __init__(self, row: pa.Table, replies: pa.Table, answered: int, begun: tuple[int, int], buckets: int):
-        first = {c: row.column(c)[0].as_py() for c in ("block", "doc_ids", "roles", "sizes", "tokens", "n_words")}
+        first = {c: row.column(c)[0].as_py() for c in ("block", "doc_ids", "roles", "sizes", "tokens", "frequent", "n_words")}
         self.number, self.docs, self.buckets = first["block"], first["doc_ids"], buckets
         self.roles = np.frombuffer(first["roles"], np.uint8)
         self.sizes = from_planes(first["sizes"], "<u4").astype(np.int64)
@@ -246,7 +254,7 @@ class _Block:
         starts = np.cumsum(self.sizes + 1) - self.sizes - 1
         seq = np.empty(int(self.sizes.sum()) + len(starts), np.int64)
         self.place = np.arange(len(seq)) - np.repeat(starts, self.sizes + 1)
-        tokens = from_planes(first["tokens"], "<u4").astype(np.int64)
+        tokens = from_planes(first["frequent"], "<u4").astype(np.int64)[from_planes(first["tokens"], "<u4")]
         seq[self.place > 0] = tokens
         seq[self.place == 0] = words
         self.doc = np.repeat(np.arange(len(starts)), self.sizes + 1)
@@ -474,7 +482,8 @@ def scored(
         .saveAsTable(name)
     )
     try:
-        return _scored(spark.table(name), replies, order, buckets)
+        with shuffles_cleared(spark):
+            return _scored(spark.table(name), replies, order, buckets)
     finally:
         for table in (name, replies):
             spark.sql(f"DROP TABLE IF EXISTS {table}")
@@ -495,7 +504,7 @@ def _scored(table: DataFrame, name: str, order: int, buckets: int) -> DataFrame:
     total = table.select("roles", "sizes").mapInArrow(sizes, "a long, b long, c long, d long")
     n_docs, n_tokens, held_docs, held_tokens = (x or 0 for x in total.agg(*(F.sum(c) for c in "abcd")).first())
     begun = (n_docs, held_docs)
-    read = table.select("block", "doc_ids", "roles", "sizes", "tokens", "n_words")
+    read = table.select("block", "doc_ids", "roles", "sizes", "tokens", "frequent", "n_words")
 
     def with_blocks(replies: DataFrame, answered: int, work, schema: str) -> DataFrame:
         def run(rows: pa.Table, told: pa.Table) -> pa.Table:

@@ -55,6 +55,21 @@ def dropped(spark: SparkSession, paths: list[str]) -> None:
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+@contextmanager
+def shuffles_cleared(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile, a job's shuffle files go when it ends: for work whose every step is a written table."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def free_name(table: DataFrame, wanted: str) -> str:
     """``wanted``, lengthened until no column of ``table`` has that name."""
     taken = {c.lower() for c in table.columns}
