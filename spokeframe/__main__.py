@@ -1,7 +1,9 @@
 """All reports of a year of trip files: ``spark-submit … -m spokeframe TRIPS OUT``.
 
 ``TRIPS`` holds the twelve monthly CSV files; every report is written to
-``OUT/<name>`` as CSV, the six map tables with a leading row number.
+``OUT/<name>`` as CSV, the six map tables with a leading row number. ``--work`` names
+a folder that all executors share; without one, and without ``spark.checkpoint.dir``,
+a cluster computes the shared tables anew for every report.
 """
 
 from __future__ import annotations
@@ -31,9 +33,13 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("out", help="folder for the reports; must not hold reports yet")
     parser.add_argument("--report", action="append", help="only this report (repeatable)")
     parser.add_argument("--trip-tables", action="store_true", help="also write the row-level tables")
+    parser.add_argument("--work", help="shared folder for the tables that reports have in common")
     options = parser.parse_args(arguments)
 
-    spark = SparkSession.builder.getOrCreate()
+    builder = SparkSession.builder.config("spark.sql.session.timeZone", "UTC")
+    if options.work:
+        builder = builder.config("spark.checkpoint.dir", options.work)
+    spark = builder.getOrCreate()
     tables = RideTables.from_csv(spark, options.trips)
     folder = options.out.rstrip("/")
     names = options.report or [
