@@ -2,9 +2,10 @@
 
 Distinct rides can't be added up over months. Here each ride id gets a number once, and a
 part's state holds, per station and rider type, the numbers of its rides as bitmaps; the
-bitmaps of several parts are combined by OR and their bits counted. Numbers follow the
-start station, so that a station's rides share few bitmaps. The ride that stands for a
-station is the least of the parts' least ones.
+bitmaps of several parts are combined by OR and their bits counted. Rides move once, to the
+task of their id, which numbers them in a range of its own and in the order of their start
+stations: a station's rides share few bitmaps, and no two tasks fill parts of the same ones.
+The ride that stands for a station is the least of the parts' least ones.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..schema import USER_TYPES
 from .keeping import Keep, as_planned
@@ -23,28 +25,54 @@ PART_NUMBERS = 1 << 53
 MOST_TASKS = 1 << 20
 
 
-def new_ride_numbers(rides: DataFrame, ordinal: int, known: DataFrame | None = None, tasks: int = 8) -> DataFrame:
-    """A number for each ride id of a part that is not ``known`` yet: ride_id, number.
+def numbered_rides(rides: DataFrame, ordinal: int, known: DataFrame | None = None, tasks: int = 8) -> DataFrame:
+    """A part's rides with the numbers of their ids: ride_id, number, is_new, both stations, member_casual.
 
-    Must be stored before use: numbers depend on how rows are spread. Parts need ordinals
-    of their own, from 0 to 1023. A missing id is one like any other.
+    An id that is ``known`` keeps its number; ``is_new`` marks one ride of each other id. Must be
+    stored before use: numbers depend on how rows are spread. Parts need ordinals of their own,
+    from 0 to 1023, that rise. A missing id is one like any other.
     """
     if not 0 <= ordinal < 1024 or not 0 < tasks < MOST_TASKS:
         raise ValueError("numbers hold 1024 parts of fewer than 2**20 tasks")
-    ids = rides.groupBy("ride_id").agg(F.min(station_column("start")).alias("station"))
+    start, end = station_column("start"), station_column("end")
+    ours = rides.select("ride_id", start, end, "member_casual", F.lit(None).cast("bigint").alias("known"))
     if known is not None:
-        seen = known.select(F.col("ride_id").alias("known_id"))
-        ids = ids.join(seen, F.col("ride_id").eqNullSafe(F.col("known_id")), "left_anti")
-    in_order = ids.repartitionByRange(tasks, "station", "ride_id").sortWithinPartitions("station", "ride_id")
-    return in_order.select("ride_id", (F.monotonically_increasing_id() + F.lit(ordinal * PART_NUMBERS)).alias("number"))
+        none = [F.lit(None).cast("string").alias(c) for c in (start, end, "member_casual")]
+        ours = ours.unionByName(known.select("ride_id", *none, F.col("number").alias("known")))
+    # Both windows keep to the tasks that the first one's shuffle made.
+    same_id = Window.partitionBy("ride_id")
+    found = ours.select(
+        "*", F.min("known").over(same_id).alias("given"), F.xxhash64(F.min(start).over(same_id)).alias("place")
+    ).where("known IS NULL")
+    in_order = found.sortWithinPartitions("place", "ride_id").withColumn("row", F.monotonically_increasing_id())
+    first = F.min("row").over(Window.partitionBy("place", "ride_id"))
+    return in_order.withColumn("first", first).select(
+        "ride_id",
+        F.coalesce("given", F.col("first") + F.lit(ordinal * PART_NUMBERS)).alias("number"),
+        (F.col("given").isNull() & (F.col("row") == F.col("first"))).alias("is_new"),
+        start,
+        end,
+        "member_casual",
+    )
+
+
+def new_ride_numbers(rides: DataFrame, ordinal: int, known: DataFrame | None = None, tasks: int = 8) -> DataFrame:
+    """A number for each ride id of a part that is not ``known`` yet: ride_id, number.
+
+    Must be stored before use, see :func:`numbered_rides`.
+    """
+    return numbers_of(numbered_rides(rides, ordinal, known, tasks))
+
+
+def numbers_of(numbered: DataFrame) -> DataFrame:
+    """The new ids of stored :func:`numbered_rides`, each with its number."""
+    return numbered.where("is_new").select("ride_id", "number")
 
 
-def ride_bitmaps(rides: DataFrame, numbers: DataFrame, side: str) -> DataFrame:
+def ride_bitmaps(numbered: DataFrame, side: str) -> DataFrame:
     """A part's rides per station, rider type and range of numbers, as a bitmap."""
     station = station_column(side)
-    ours = named(rides, side).select(station, "member_casual", F.col("ride_id").alias("own_id"))
-    numbered = ours.join(numbers, F.col("own_id").eqNullSafe(F.col("ride_id")))
-    return numbered.groupBy(station, "member_casual", F.bitmap_bucket_number("number").alias("bucket")).agg(
+    return named(numbered, side).groupBy(station, "member_casual", F.bitmap_bucket_number("number").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bitmap")
     )
 

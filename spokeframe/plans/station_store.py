@@ -1,8 +1,8 @@
 """Station tables kept up to date month by month: a new month is merged, old ones are not read again.
 
 ``<folder>/numbers/part=…`` holds ride numbers, ``<folder>/<side>_bitmaps/part=…`` and
-``<folder>/<side>_points/part=…`` the state of each part. The station tables come from the
-states alone. A part is complete when its entry in ``<folder>/parts/part=…`` is there,
+``<folder>/<side>_points/part=…`` the state of each part, ``<folder>/numbered/part=…`` its rides
+with their numbers, until their bitmaps are made. The station tables come from the states alone. A part is complete when its entry in ``<folder>/parts/part=…`` is there,
 which is written last; what a stopped attempt left is overwritten by the next one.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators import station_state
 from ..operators.keeping import Keep, as_planned
+from .store import deleted
 
 SIDES = ("start", "end")
 PARTS = "ordinal int"
@@ -57,14 +58,16 @@ class StationStates:
         ordinal = max(done.values(), default=-1) + 1
         known = self._of_parts("numbers", list(done)) if done else None
         tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        fresh = station_state.new_ride_numbers(rides, ordinal, known, tasks)
-        fresh.write.mode("overwrite").parquet(self._path("numbers", part))
-        numbers = self._of_parts("numbers", [*done, part])
+        moved = station_state.numbered_rides(rides, ordinal, known, tasks)
+        moved.write.mode("overwrite").parquet(self._path("numbered", part))
+        numbered = self._of_parts("numbered", [part])
+        station_state.numbers_of(numbered).write.mode("overwrite").parquet(self._path("numbers", part))
         for side in SIDES:
-            bitmaps = station_state.ride_bitmaps(rides, numbers, side)
+            bitmaps = station_state.ride_bitmaps(numbered, side)
             bitmaps.write.mode("overwrite").option("compression", "zstd").parquet(self._path(f"{side}_bitmaps", part))
             points = station_state.part_points(rides, side, keep)
             points.write.mode("overwrite").parquet(self._path(f"{side}_points", part))
+        deleted(self.spark, self._path("numbered", part))
         entry = self.spark.range(1).select(F.lit(ordinal).alias("ordinal"))
         entry.write.mode("overwrite").parquet(self._path("parts", part))
 

@@ -75,6 +75,38 @@ def test_numbers_are_given_once(spark, tmp_path, rides):
     assert numbers.count() == ids == numbers.select("ride_id").distinct().count() == numbers.select("number").distinct().count()
 
 
+def test_no_two_tasks_fill_the_same_bitmap(spark, tmp_path, rides):
+    """Else each task holds a nearly empty copy of every other task's bitmaps."""
+    path = str(tmp_path / "numbered")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        station_state.numbered_rides(rides, 1).write.parquet(path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    numbered = spark.read.parquet(path).select("*", F.input_file_name().alias("task"))
+    tasks = numbered.groupBy(F.bitmap_bucket_number("number").alias("bucket")).agg(F.count_distinct("task").alias("tasks"))
+    assert numbered.select("task").distinct().count() > 1
+    assert {r["tasks"] for r in tasks.collect()} == {1}
+    # A ride keeps its number, in this part and in later ones.
+    assert numbered.count() == rides.count()
+    assert numbered.groupBy("ride_id").agg(F.count_distinct("number").alias("n")).where("n > 1").count() == 0
+    known = station_state.numbers_of(spark.read.parquet(path))
+    assert known.count() == known.select("number").distinct().count() == rides.select("ride_id").distinct().count()
+    again = station_state.numbered_rides(rides, 2, known)
+    assert again.where("is_new").count() == 0 and again.count() == rides.count()
+    same = again.select("ride_id", "number").distinct()
+    assert sorted(same.collect(), key=str) == sorted(known.collect(), key=str)
+
+
+def test_rides_move_once(spark, rides):
+    """One shuffle gives the numbers, and none but that of finished bitmaps follows."""
+    plan = station_state.numbered_rides(rides, 0)._jdf.queryExecution().sparkPlan().toString()
+    executed = station_state.numbered_rides(rides, 0)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    assert executed.count("Exchange hashpartitioning") == 1 and "rangepartitioning" not in executed
+
+
 def test_a_stopped_attempt_leaves_nothing_behind(spark, tmp_path, rides, monkeypatch):
     states = StationStates(spark, str(tmp_path / "states"))
     states.add("03", rides.where("month = '03'"))
