@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cleaning, measures
 from ..sources import SourceFile, append_all, headers, read_trips
-from .store import new_path
+from .store import new_path, small_methods
 
 FILE = "trip_file"  #: which file a stored row came from
 
@@ -37,7 +37,9 @@ _LOCK = threading.RLock()
 def _made(spark: SparkSession, files: Sequence[SourceFile]) -> Part:
     part = Part(new_path(spark, "rides_of_files"), new_path(spark, "facts_of_files"))
     trips = read_trips(spark, [file.literal() for file in files], source_column=FILE)
-    cleaning.clean_rides(trips).write.parquet(part.rides)
+    # Parsing and cleaning text in one step is a method several times as long as that limit.
+    with small_methods(spark):
+        cleaning.clean_rides(trips).write.parquet(part.rides)
     measures.rollup(spark.read.parquet(part.rides), FILE).write.parquet(part.facts)
     return part
 

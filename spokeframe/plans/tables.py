@@ -138,15 +138,11 @@ def export_months(spark: SparkSession, source: str, trips: DataFrame) -> list[st
     """Write trips as CSV, one folder of files per month, and return the folders."""
 
     def write(path: str) -> None:
-        text = trips.withColumns(
-            {
-                "month_file": month_abbreviation(F.month("started_at")),
-                **{c: F.col(c).cast("string") for c in TIME_COLUMNS},
-            }
-        )
-        # Even files of a useful size, however the months are spread over the input.
-        even = text.hint("rebalance", F.col("month_file"))
-        even.write.partitionBy("month_file").option("header", True).option("escape", '"').csv(path)
+        # Even files of a useful size, however the months are spread over the input; times move as numbers.
+        months = trips.withColumn("month_file", month_abbreviation(F.month("started_at")))
+        even = months.hint("rebalance", F.col("month_file"))
+        text = even.withColumns({c: F.col(c).cast("string") for c in TIME_COLUMNS})
+        text.write.partitionBy("month_file").option("header", True).option("escape", '"').csv(path)
 
     path, _ = written_once(spark, source, "monthly_csv", write)
     return [f"{path}/month_file={month}" for month in MONTHS]

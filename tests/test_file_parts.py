@@ -65,3 +65,19 @@ def test_empty_files(spark, tmp_path):
         RideTables.from_files(spark, [str(tmp_path)]).rides()
     write(tmp_path / "header.csv", [])
     assert RideTables.from_files(spark, [str(tmp_path)]).rides().count() == 0
+
+
+def test_files_are_cleaned_in_methods_that_get_compiled(spark, tmp_path, monkeypatch):
+    """The JVM interprets a method of more than 8000 bytes, which took twice the time per row."""
+    key, seen = "spark.sql.codegen.hugeMethodLimit", []
+    clean = cleaning.clean_rides
+
+    def spy(trips):
+        seen.append(spark.conf.get(key))
+        return clean(trips)
+
+    monkeypatch.setattr(file_parts.cleaning, "clean_rides", spy)
+    write(tmp_path / "jan.csv", [line("a", 1), line("b", 1)])
+    before = spark.conf.get(key)
+    assert RideTables.from_files(spark, [str(tmp_path)]).rides().count() == 2
+    assert seen == ["8000"] and spark.conf.get(key) == before
