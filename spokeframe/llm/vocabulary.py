@@ -33,7 +33,7 @@ PLAIN = re.compile(r" ?[^ \n]+")
 SEPARATORS = ("\n", " \ue000 ")
 
 #: Pieces remembered by one worker (some 200 bytes each); longer pieces are not remembered.
-REMEMBERED = 800_000
+REMEMBERED = 1_600_000
 LONGEST = 48
 MARKS = 10_000  #: different runs of marks remembered
 
@@ -53,6 +53,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = plain
         self.added = [] if plain else self._added()
         self.size = self.tokenizer.get_vocab_size()
+        self.tokenize = self.tokenizer.model.tokenize  # each look at .model makes an object
         self.raw = [i.to_bytes(4, "little") for i in range(self.size)]
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -83,7 +84,7 @@ class Encoder:
         else:
             mapped = word.encode().decode("latin-1").translate(BYTE_LETTERS)
         raw = self.raw
-        return b"".join([raw[t.id] for t in self.tokenizer.model.tokenize(mapped)])
+        return b"".join([raw[t.id] for t in self.tokenize(mapped)])
 
     def _separator(self) -> tuple[str, np.ndarray]:
         """A string that can stand between two pieces and always has ids of its own."""

@@ -543,3 +543,13 @@ def test_empty_tables(spark, empty, tmp_path):
         packing.packed(packing.pieces(empty, word)),
     ):
         assert table.count() == 0
+
+
+def test_a_worker_remembers_the_pieces_of_many_texts():
+    """A piece goes through the library again only after two generations of 800,000 others."""
+    tokens = Encoder(public_path("byte_bpe_50k.json"))
+    wanted = tokens.encode("some rare words")
+    tokens.memo.update((f"piece {i}", b"") for i in range(700_000))
+    assert tokens.encode("some rare words") == wanted and not tokens.older
+    tokens.memo.update((f"piece {i}", b"") for i in range(700_000, 801_000))
+    assert tokens.encode("some rare words") == wanted and tokens.older
