@@ -13,9 +13,12 @@ Counting goes level by level, words first:
 * Each level's distinct n-grams of a block, with their counts there, go to buckets dealt
   by a hash of the n-gram. A bucket adds up all blocks' counts and answers each block with
   the totals and a number for every n-gram. An n-gram of the next level is the pair of
-  the numbers of its two halves, so no n-gram is ever taken for another.
+  the numbers of all its words but the last, and of the last, so no n-gram is ever taken for
+  another. Frequent words have small numbers, most of whose high bytes are zero.
 * An n-gram that no other block has needs no question about what extends it: the block
   has those counts itself. Most rare n-grams stop there, with one bit as their answer.
+* What blocks ask about their words is a part of the table of its own, which goes as soon as it
+  is answered.
 * Answers move to their block once, into a table bucketed by block like the blocks; all
   later steps read both side by side.
 
@@ -39,14 +42,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.store import new_path
+from ..plans.store import deleted, new_path
 from .planes import from_planes, grow, rising_from_planes, rising_to_planes, shrink, to_planes
 from .tables import column, fold, kept, read_table, shuffle_partitions, shuffles_cleared
 from .workers import forget
 
 ORDER = 3
 BLOCK_CHARS = 6 << 20  #: a block is closed by the first document that brings it to this many
-BUCKET_KEYS = 1 << 20  #: n-grams asked about in one bucket, about
+BUCKET_KEYS = 2 << 20  #: words of all text to one bucket, about; a block has an entry per bucket, so few are better
 FOLDS = 10  #: of the training documents, one in so many is held out for the weights
 PRIOR = 0.5  #: occurrences that each weight has from the start; keeps every weight above 0
 ROUNDS = 30  #: of expectation-maximisation, at most
@@ -54,12 +57,13 @@ ENOUGH = 1e-6  #: gain in log-likelihood, as a share of it, at which the rounds
 FREQUENCIES = 40  #: classes of context frequency, by powers of two
 
 BLOCK = (
-    "block long, doc_ids array<long>, roles binary, sizes binary, tokens binary, frequent binary, n_words int,"
+    "block long, part string, doc_ids array<long>, roles binary, sizes binary, tokens binary, frequent binary, n_words int,"
     " asks array<struct<bucket:long,n:int,left:binary,right:binary,train:binary,held:binary>>"
 )
 ASKED = "block long, bucket long, n int, left binary, right binary, train binary, held binary"
 REPLIES = "block long, level int, bucket long, types long, n int, alone binary, train binary, held binary, number binary"
 REPLIED = ("level", "bucket", "n", "alone", "train", "held", "number")
+TOKENS, WORDS = "tokens", "words"  #: parts of the table of blocks: the texts, and what is asked about their words
 TRAIN, HELD, OUT = 0, 1, 2  #: a document's role: counted, counted and held out for the weights, only scored
 
 
@@ -74,6 +78,7 @@ _ASKED, _REPLIES = _arrow(ASKED), _arrow(REPLIES)
 _BLOCK = pa.schema(
     [
         ("block", pa.int64()),
+        ("part", pa.string()),
         ("doc_ids", pa.list_(pa.int64())),
         ("roles", pa.binary()),
         ("sizes", pa.binary()),
@@ -146,7 +151,7 @@ def _order(*columns: np.ndarray) -> np.ndarray:
     return np.argsort(key)
 
 
-def _block_row(number: int, docs: list, roles: list, texts: list, buckets: int) -> pa.RecordBatch:
+def _block_rows(number: int, docs: list, roles: list, texts: list, buckets: int) -> pa.RecordBatch:
     """Tokens as places in the block's vocabulary, which is sorted by bucket and word.
 
     They are stored as ranks by frequency, most of whose high bytes are zero.
@@ -171,8 +176,9 @@ def _block_row(number: int, docs: list, roles: list, texts: list, buckets: int)
     by_rank = np.empty(len(spelled), np.int64)
     by_rank[frequent] = np.arange(len(spelled))
     packed = (to_planes(x.astype("<u4")) for x in (sizes, by_rank[tokens], frequent))
-    row = (number, docs, bytes(roles), *packed, len(spelled), asks)
-    return pa.RecordBatch.from_pydict({f.name: [v] for f, v in zip(_BLOCK, row, strict=True)}, schema=_BLOCK)
+    rows = [(number, TOKENS, docs, bytes(roles), *packed, len(spelled), None), (number, WORDS, *[None] * 6, asks)]
+    columns = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _BLOCK, strict=True)], schema=_BLOCK)
 
 
 def _into_blocks(block_chars: int, buckets: int):
@@ -186,10 +192,10 @@ def _into_blocks(block_chars: int, buckets: int):
                 texts.append(text.as_py())
                 size += len(texts[-1] or "") + 1
                 if size >= block_chars:
-                    yield _block_row(number, docs, roles, texts, buckets)
+                    yield _block_rows(number, docs, roles, texts, buckets)
                     number, docs, roles, texts, size = number + 1, [], [], [], 0
         if docs:
-            yield _block_row(number, docs, roles, texts, buckets)
+            yield _block_rows(number, docs, roles, texts, buckets)
 
     return run
 
@@ -199,6 +205,7 @@ class _Level:
     """The distinct n-grams of one length in a block, with their totals in the whole training text."""
 
     codes: np.ndarray  #: per place of the block (documents with their beginnings); -1 where there is none
+    ends: np.ndarray  #: each n-gram's last word
     train: np.ndarray
     held: np.ndarray
     number: np.ndarray
@@ -210,6 +217,7 @@ class _Asked:
     """A level before its answers: own counts, and which n-grams to ask about, in the order of the questions."""
 
     codes: np.ndarray
+    ends: np.ndarray
     train: np.ndarray
     held: np.ndarray
     order: np.ndarray
@@ -227,19 +235,23 @@ class _Asked:
         columns = list(zip(*out, strict=True)) or [()] * len(_ASKED)
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, _ASKED, strict=True)], schema=_ASKED)
 
-    def answered(self, replies: list) -> _Level:
-        """``replies``: per bucket how many n-grams were asked about, which no other block has, and what the rest got."""
+    def answered(self, replies: list, buckets: int, rising: bool = True) -> _Level:
+        """``replies``: per bucket how many n-grams were asked about, which no other block has, and what the rest got.
+
+        An n-gram's number is made of its place in its bucket (``rising`` in the order of the questions) and the bucket.
+        """
         train, held, number = self.train.astype(np.int64), self.held.astype(np.int64), np.zeros(len(self.train), np.uint64)
         settled, at = np.ones(len(self.train), bool), 0
-        for _, (n, alone, *totals) in sorted(replies, key=lambda reply: reply[0]):
+        for bucket, (n, alone, *totals) in sorted(replies, key=lambda reply: reply[0]):
             own = np.unpackbits(np.frombuffer(alone, np.uint8), count=n).astype(bool)
             shared = self.order[at : at + n][~own]
             settled[shared] = False
             train[shared], held[shared] = (from_planes(x, "<i8") for x in totals[:2])
             if totals[2]:
-                number[shared] = rising_from_planes(totals[2])
+                place = rising_from_planes(totals[2]) if rising else from_planes(totals[2], "<u8")
+                number[shared] = place * np.uint64(buckets) + np.uint64(bucket + 1)
             at += n
-        return _Level(self.codes, train, held, number, settled)
+        return _Level(self.codes, self.ends, train, held, number, settled)
 
 
 class _Block:
@@ -266,15 +278,15 @@ class _Block:
         if answered:
             own = _counts_by_role(tokens, self.role[self.place > 0], words)
             none = np.zeros(0, np.uint64)
-            level = _Asked(seq, *own, np.arange(words), none, none, none).answered(told[1])
+            level = _Asked(seq, np.arange(words + 1, dtype=np.int32), *own, np.arange(words), none, none, none).answered(told[1], buckets, rising=False)
             beginning = (*begun, np.uint64(0), False)  # number 0, counted once a document
             totals = (level.train, level.held, level.number, level.settled)
-            self.levels.append(_Level(seq, *(np.append(x, y) for x, y in zip(totals, beginning, strict=True))))
+            self.levels.append(_Level(seq, level.ends, *(np.append(x, y) for x, y in zip(totals, beginning, strict=True))))
         for level in range(2, answered + 1):
-            self.levels.append(self.next_level().answered(told[level]))
+            self.levels.append(self.next_level().answered(told[level], buckets))
 
     def next_level(self) -> _Asked:
-        """The pairs of neighbouring n-grams of the last level."""
+        """The pairs of neighbouring n-grams of the last level, as the first one and the last word."""
         last = self.levels[-1]
         there = self.place[1:] >= len(self.levels)
         size = len(last.train)
@@ -285,10 +297,11 @@ class _Block:
         left = distinct // max(1, size)
         right = distinct - left * size
         open_ = np.flatnonzero(~(last.settled[left] | last.settled[right]))
-        a, b = last.number[left[open_]], last.number[right[open_]]
+        ends = last.ends[right]
+        a, b = last.number[left[open_]], self.levels[0].number[ends[open_]]
         bucket = _bucket(a, b, self.buckets)
         order = _order(bucket, a, b)
-        return _Asked(codes, train, held, open_[order], bucket[order], a[order], b[order])
+        return _Asked(codes, ends, train, held, open_[order], bucket[order], a[order], b[order])
 
     def estimates(self, deleted: bool, tokens: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places of tokens, each one's class of context and its estimates of order 1 and up (0 where unseen).
@@ -328,18 +341,20 @@ def _bucket(left: np.ndarray, right: np.ndarray, buckets: int) -> np.ndarray:
 # Buckets -----------------------------------------------------------------------
 
 
-def _answer(level: int, buckets: int, last: bool):
+def _answer(level: int, last: bool):
     """Adds up the blocks' counts of a bucket's n-grams.
 
-    Each block gets the totals of those that another block has too, and their numbers unless this level is the ``last``.
+    Each block gets the totals of those that another block has too, and their places in the bucket unless this level is the ``last``.
     """
 
+    told_places = to_planes if level == 1 else rising_to_planes
+
     def run(table: pa.Table) -> pa.Table:
         forget()
         bucket, sizes = table.column("bucket")[0].as_py(), table.column("n").to_pylist()
         if level == 1:
             coded = _lines([grow(x) for x in table.column("left").to_pylist()]).dictionary_encode()
-            group, order = coded.indices.to_numpy(), pc.sort_indices(coded.dictionary).to_numpy()
+            group, size = coded.indices.to_numpy(), len(coded.dictionary)
         else:
             left = np.concatenate([rising_from_planes(x) for x in table.column("left").to_pylist()])
             right = np.concatenate([from_planes(x, "<u8") for x in table.column("right").to_pylist()])
@@ -348,20 +363,21 @@ def _answer(level: int, buckets: int, last: bool):
             fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
             group = np.empty(len(sort), np.int64)
             group[sort] = np.cumsum(fresh) - 1
-            order = np.arange(int(fresh.sum()))
+            size = int(fresh.sum())
         totals = []
         for name in ("train", "held"):
             own = np.concatenate([from_planes(x, "<u4") for x in table.column(name).to_pylist()])
-            totals.append(np.bincount(group, own, len(order)).astype(np.int64))
-        number = np.empty(len(order), np.uint64)
-        number[order] = np.arange(len(order), dtype=np.uint64) * np.uint64(buckets) + np.uint64(bucket + 1)
-        known, alone = int((totals[0] > 0).sum()), np.bincount(group, minlength=len(order)) == 1
+            totals.append(np.bincount(group, own, size).astype(np.int64))
+        place = np.arange(size, dtype=np.uint64)
+        if level == 1:  # words by falling frequency; n-grams are in the order of the questions, as they are
+            place[np.argsort(-totals[0], kind="stable")] = np.arange(size, dtype=np.uint64)
+        known, alone = int((totals[0] > 0).sum()), np.bincount(group, minlength=size) == 1
         out, at = [], 0
         for k, (block, n) in enumerate(zip(table.column("block").to_pylist(), sizes, strict=True)):
             of = group[at : at + n]
             own = alone[of]
             shared = of[~own]
-            told = (to_planes(totals[0][shared]), to_planes(totals[1][shared]), b"" if last else rising_to_planes(number[shared]))
+            told = (to_planes(totals[0][shared]), to_planes(totals[1][shared]), b"" if last else told_places(place[shared]))
             out.append((block, level, bucket, 0 if k else known, n, np.packbits(own).tobytes(), *told))
             at += n
         columns = zip(*out, strict=True)
@@ -471,27 +487,30 @@ def scored(
     rows = docs.select(column(id_col).cast("long").alias("id"), role.alias("role"), column(text_col).alias("text"))
     # Blanks in ASCII never fall into another character, so this is the number of words up to neighbours.
     about = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, 1 << math.ceil(math.log2(max(1, about / 6 / bucket_keys))))
+    buckets = max(1, math.ceil(about / 6 / bucket_keys))
 
     name, replies = (f"spokeframe_{kind}_{uuid.uuid4().hex}" for kind in ("blocks", "replies"))
+    path = new_path(spark, "lm-blocks")
     (
         rows.mapInArrow(_into_blocks(block_chars, buckets), BLOCK)
-        .write.bucketBy(shuffle_partitions(spark), "block")
+        .write.partitionBy("part")
+        .bucketBy(shuffle_partitions(spark), "block")
         .option("compression", "none")  # its columns are packed already
-        .option("path", new_path(spark, "lm-blocks"))
+        .option("path", path)
         .saveAsTable(name)
     )
     try:
         with shuffles_cleared(spark):
-            return _scored(spark.table(name), replies, order, buckets)
+            return _scored(spark.table(name), path, replies, order, buckets)
     finally:
         for table in (name, replies):
             spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 
-def _scored(table: DataFrame, name: str, order: int, buckets: int) -> DataFrame:
-    """``name`` is that of the table of answers, to be made here."""
-    spark = table.sparkSession
+def _scored(blocks: DataFrame, stored: str, name: str, order: int, buckets: int) -> DataFrame:
+    """``stored`` is where the blocks are, ``name`` that of the table of answers, to be made here."""
+    spark = blocks.sparkSession
+    table = blocks.where(F.col("part") == TOKENS)
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -513,18 +532,24 @@ def _scored(table: DataFrame, name: str, order: int, buckets: int) -> DataFrame:
 
         return read.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, schema)
 
-    words = table.select("block", F.explode("asks").alias("ask")).select("block", "ask.*")
+    words = blocks.where(F.col("part") == WORDS).select("block", F.explode("asks").alias("ask")).select("block", "ask.*")
     tasks, path = shuffle_partitions(spark), new_path(spark, "lm-replies")
     for level in range(1, order + 1):
         asked = words
         if level > 1:
             asked = with_blocks(spark.table(name), level - 1, lambda b: b.next_level().rows(b.number), ASKED)
-        found = asked.groupBy("bucket").applyInArrow(_answer(level, buckets, level == order), REPLIES)
+        found = asked.groupBy("bucket").applyInArrow(_answer(level, level == order), REPLIES)
+        # The questions' shuffle files go before the answers move.
+        moved = new_path(spark, "lm-answers")
+        found.write.option("compression", "none").parquet(moved)
         # One file per bucket and level; what was answered before is not written again.
+        found = spark.read.schema(REPLIES).parquet(moved)
         writer = found.repartition(tasks, "block").write.mode("append").option("compression", "none")
         writer.bucketBy(tasks, "block").option("path", path).saveAsTable(name)
+        deleted(spark, moved)
         if level == 1:
             types = spark.table(name).agg(F.sum("types")).first()[0] or 0
+            deleted(spark, f"{stored}/part={WORDS}")
     replies = spark.table(name)
 
     def fold_tokens(block: _Block) -> pa.Table:

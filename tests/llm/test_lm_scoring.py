@@ -138,3 +138,26 @@ def test_the_query_gives_each_document_once(spark, sf_dir):
     assert_same(found.collect(), plain_scores(docs))
     better = found.where("held_out").agg(F.sum("score") > F.sum("base_score")).first()[0]
     assert better
+
+
+def test_what_was_asked_does_not_stay_on_disk(spark, monkeypatch, tmp_path):
+    """Questions about words go once answered, and answers are stored once, by block."""
+    monkeypatch.setattr(lm_scoring, "new_path", lambda spark, name: str(tmp_path / name))
+    docs = [(i, f"w{i % 7} common w{i % 5} common text {i}") for i in range(60)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    found = lm_scoring.scored(table, block_chars=200, bucket_keys=20)
+    assert_same(found.collect(), plain_scores(docs))
+    assert not (tmp_path / "lm-answers").exists()
+    stored = spark.read.parquet(str(tmp_path / "lm-blocks"))
+    assert stored.count() > 1 and stored.where("asks IS NOT NULL").count() == 0
+
+
+def test_buckets_grow_no_faster_than_the_text(spark, monkeypatch):
+    """A power of two of them made each block's questions up to twice as many as the text asks for."""
+    seen = []
+    blocks = lm_scoring._into_blocks
+    monkeypatch.setattr(lm_scoring, "_into_blocks", lambda chars, buckets: seen.append(buckets) or blocks(chars, buckets))
+    for copies in (1, 5):
+        docs = [(i, "a few words here " * 6) for i in range(20 * copies)]
+        lm_scoring.scored(spark.createDataFrame(docs, "doc_id long, text string"), bucket_keys=48).count()
+    assert seen[1] <= 5 * seen[0]
