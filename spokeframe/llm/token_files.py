@@ -75,9 +75,9 @@ def write_tokens(
             return pa.RecordBatch.from_pydict(row, schema=ARROW_BLOCKS)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc, encoded in zip(batch.column(0).to_pylist(), tokens.encode_column(batch.column(1)), strict=True):
                 ids.append(doc)
-                parts.append(tokens.encode(text.as_py() or "") + end)
+                parts.append(encoded + end)
                 size += len(parts[-1]) // 4
                 if size >= block_tokens:
                     yield block()

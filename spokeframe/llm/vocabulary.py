@@ -13,9 +13,10 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 from .workers import remembered
 
@@ -36,6 +37,7 @@ SEPARATORS = ("\n", " \ue000 ")
 REMEMBERED = 1_600_000
 LONGEST = 48
 MARKS = 10_000  #: different runs of marks remembered
+CUT_BYTES = 8 << 20  #: texts are cut together up to so many bytes; a longer one alone
 
 
 class Encoder:
@@ -177,6 +179,50 @@ class Encoder:
             return self._ids([text])[0]
         return b"".join(self.of_pieces(PIECE.findall(text)))
 
+    def encode_column(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text, NULL as the empty one; a piece that many texts hold is looked up once."""
+        for part in _stretches(texts.cast(pa.large_string()).fill_null("")):
+            whole = [self.is_whole(t) for t in part.to_pylist()]
+            cut = iter(self._together(part.filter(pa.array([not w for w in whole], pa.bool_()))))
+            for text, alone in zip(part, whole, strict=True):
+                yield self._ids([text.as_py()])[0] if alone else next(cut)
+
+    def _together(self, texts: pa.LargeStringArray) -> list[bytes]:
+        """Ids of texts that go through the library piece by piece."""
+        if not len(texts):
+            return []
+        pieces, first = pieces_of(texts)
+        coded = pieces.dictionary_encode()
+        found = pa.array(self.of_pieces(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        edges = np.frombuffer(found.buffers()[1], np.int64)[found.offset :][first].tolist()
+        ids = found.buffers()[2].to_pybytes() if edges[-1] else b""
+        return [ids[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def _stretches(texts: pa.LargeStringArray) -> Iterator[pa.LargeStringArray]:
+    """The texts in a row, those together that have not more than :data:`CUT_BYTES`."""
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else []
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] + CUT_BYTES, "right")) - 1)
+        yield texts.slice(at, end - at)
+        at = end
+
+
+def pieces_of(texts: pa.LargeStringArray) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """All texts' pieces in a row, cut as by :data:`PIECE`, and the place of each text's first one, and of the end."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[: offsets[-1]]
+    blank = (data == 32) | (data == 10)  # no byte of a longer character is one of these
+    begins = blank.copy()
+    begins[1:] &= ~blank[:-1]  # a run of blanks begins a piece
+    begins[offsets[:-1][np.diff(offsets) > 0]] = True
+    begins[: offsets[0]] = False
+    starts = np.flatnonzero(begins)
+    edges = pa.py_buffer(np.append(starts, offsets[-1]))
+    pieces = pa.Array.from_buffers(pa.large_string(), len(starts), [None, edges, texts.buffers()[2]])
+    return pieces, np.searchsorted(starts, offsets)
+
 
 @remembered(maxsize=2)
 def encoder(path: str, plain: bool = False) -> Encoder:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from spokeframe.llm import bitpack, bpe, exact_dedup, languages, near_dedup, nearest, packing, suffix_dedup
-from spokeframe.llm import token_files, toxicity, url_rules
+from spokeframe.llm import token_files, toxicity, url_rules, vocabulary
 from spokeframe.llm.vocabulary import Encoder, public_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, part int, id string"
@@ -129,6 +129,24 @@ def test_ids_of_every_letter_and_mark_are_the_librarys(name):
         assert np.frombuffer(tokens.encode(text), "<u4").tolist() == whole.ids, (text, hex(ord(text[0])))
 
 
+@pytest.mark.parametrize("cut_bytes", [5, 1 << 20])
+def test_a_column_is_encoded_as_each_text(monkeypatch, cut_bytes):
+    """Texts are cut together, and a piece that several hold is looked up once."""
+    monkeypatch.setattr(vocabulary, "CUT_BYTES", cut_bytes)
+    texts = ["", None, " ", "\n", "a", " a ", "a  b\n\nc ", "x\ty z", "é  ü\n", "<|endoftext|> hi", "\n\nhi", "日本 語", "", "w" * 99]
+    texts += ["the cat"] * 50
+    tokens = Encoder(public_path("byte_bpe_50k.json"))
+    asked = []
+    monkeypatch.setattr(tokens, "of_pieces", lambda p, one=tokens.of_pieces: asked.append(len(p)) or one(p))
+    expected = tokens._ids([t or "" for t in texts])
+    for column in (pa.array(texts), pa.array(texts, pa.large_string())):
+        for begin, n in ((0, len(texts)), (3, 9), (1, 1), (0, 0)):
+            assert list(tokens.encode_column(column.slice(begin, n))) == expected[begin : begin + n]
+    asked.clear()
+    list(tokens.encode_column(pa.array(["the cat"] * 50)))
+    assert sum(asked) == (2 if cut_bytes > 1000 else 100)
+
+
 def test_token_files(spark, docs, tmp_path):
     path = public_path("byte_bpe_50k.json")
     token_files.write_tokens(docs, str(tmp_path / "t"), path, end_id=2, block_tokens=100)
