@@ -28,6 +28,7 @@ from ..plans.store import new_path
 from .bitpack import pack, unpack, width_for
 from .tables import column, read_table, shuffle_partitions
 from .vocabulary import encoder, public_path
+from .workers import forget
 
 #: A block is closed by the first document that brings it to this many ids.
 BLOCK_TOKENS = 1 << 18
@@ -54,6 +55,7 @@ def write_tokens(
     """
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(encoder)
         tokens = encoder(vocabulary)
         end = np.array([end_id], "<u4").tobytes()
         width, shard = width_for(max(tokens.size, end_id + 1)), TaskContext.get().partitionId()

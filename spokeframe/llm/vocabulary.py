@@ -17,8 +17,9 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-from .workers import remembered
+from .workers import give_back, remembered
 
 PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 UNCLEAR_SPACE = re.compile(r"[\t\x0b-\r\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
@@ -36,6 +37,10 @@ SEPARATORS = ("\n", " \ue000 ")
 #: Pieces remembered by one worker (some 200 bytes each); longer pieces are not remembered.
 REMEMBERED = 1_600_000
 LONGEST = 48
+#: Pieces of whole columns of texts that are remembered in arrays instead (some 40 bytes each).
+KNOWN = 800_000
+YOUNG = 100_000  #: beyond so many, pieces move there
+LOOKED_UP = 16  #: arrays of so many times the pieces asked for take longer to look through than the library
 MARKS = 10_000  #: different runs of marks remembered
 CUT_BYTES = 8 << 20  #: texts are cut together up to so many bytes; a longer one alone
 
@@ -59,6 +64,7 @@ class Encoder:
         self.raw = [i.to_bytes(4, "little") for i in range(self.size)]
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.known = Known()
         self.marks: dict[str, bytes] = {"": b""}
         self.separator, self.separator_ids = self._separator()
         self.word_form = self._word_form()
@@ -184,6 +190,7 @@ class Encoder:
         for part in _stretches(texts.cast(pa.large_string()).fill_null("")):
             whole = [self.is_whole(t) for t in part.to_pylist()]
             cut = iter(self._together(part.filter(pa.array([not w for w in whole], pa.bool_()))))
+            give_back()
             for text, alone in zip(part, whole, strict=True):
                 yield self._ids([text.as_py()])[0] if alone else next(cut)
 
@@ -193,11 +200,56 @@ class Encoder:
             return []
         pieces, first = pieces_of(texts)
         coded = pieces.dictionary_encode()
-        found = pa.array(self.of_pieces(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        found = self._of_distinct(coded.dictionary).take(coded.indices)
         edges = np.frombuffer(found.buffers()[1], np.int64)[found.offset :][first].tolist()
         ids = found.buffers()[2].to_pybytes() if edges[-1] else b""
         return [ids[a:b] for a, b in zip(edges, edges[1:], strict=False)]
 
+    def _of_distinct(self, pieces: pa.LargeStringArray) -> pa.LargeBinaryArray:
+        """Ids of each piece; only those not known become objects of Python."""
+        found = self.known.of(pieces)
+        unknown = found.is_null()
+        new = self.of_pieces(pieces.filter(unknown).to_pylist())
+        if len(self.memo) > YOUNG:
+            self.known.add(self.memo)
+            self.memo = {}
+        return pc.replace_with_mask(found, unknown, pa.array(new, pa.large_binary()))
+
+
+class Known:
+    """Pieces and their ids, without an object for each.
+
+    When they are more than :data:`KNOWN`, those that were not used since that was last so are forgotten.
+    """
+
+    def __init__(self):
+        self.pieces, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+        self.used = np.zeros(0, bool)
+        self.passed_over = False  #: some were asked for and not looked up
+
+    def of(self, pieces: pa.LargeStringArray) -> pa.LargeBinaryArray:
+        """Ids of each piece, NULL where it is not known, or too many others are."""
+        if len(pieces) * LOOKED_UP < len(self.pieces):
+            self.passed_over = True
+            return pa.nulls(len(pieces), pa.large_binary())
+        return self.ids.take(self._places(pieces))
+
+    def add(self, found: dict[str, bytes]) -> None:
+        pieces, ids = pa.array(found.keys(), pa.large_string()), pa.array(found.values(), pa.large_binary())
+        if self.passed_over:
+            new = self._places(pieces).is_null()
+            pieces, ids, self.passed_over = pieces.filter(new), ids.filter(new), False
+        if len(self.pieces) + len(pieces) > KNOWN:
+            kept = pa.array(np.flatnonzero(self.used)[-(KNOWN // 2) :])
+            self.pieces, self.ids, self.used = self.pieces.take(kept), self.ids.take(kept), np.zeros(len(kept), bool)
+        self.pieces, self.ids = pa.concat_arrays([self.pieces, pieces]), pa.concat_arrays([self.ids, ids])
+        self.used = np.append(self.used, np.zeros(len(pieces), bool))
+
+    def _places(self, pieces: pa.LargeStringArray) -> pa.Int32Array:
+        at = pc.index_in(pieces, value_set=self.pieces)
+        self.used[at.drop_null().to_numpy()] = True
+        return at
+
 
 def _stretches(texts: pa.LargeStringArray) -> Iterator[pa.LargeStringArray]:
     """The texts in a row, those together that have not more than :data:`CUT_BYTES`."""

@@ -28,7 +28,7 @@ def remembered(maxsize: int) -> Callable:
     return wrap
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Freed memory goes back to the system, where the C library can do that."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -45,4 +45,4 @@ def forget(*but: Callable) -> None:
             dropped = True
     if dropped:
         gc.collect()
-    _give_back()
+    give_back()

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -571,3 +573,39 @@ def test_a_worker_remembers_the_pieces_of_many_texts():
     assert tokens.encode("some rare words") == wanted and not tokens.older
     tokens.memo.update((f"piece {i}", b"") for i in range(700_000, 801_000))
     assert tokens.encode("some rare words") == wanted and tokens.older
+
+
+def test_columns_of_many_pieces_leave_little_memory():
+    """Of 150,000 words a worker keeps less than 100 bytes each."""
+    words = [f"{chr(97 + i % 26)}{i * 7919 % 1_000_003:x}" for i in range(150_000)]
+    texts = [" ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)]
+    tokens = Encoder(public_path("byte_bpe_50k.json"))
+    list(tokens.encode_column(pa.array(["a first text"])))
+    gc.collect()
+    tracemalloc.start()
+    in_arrow = pa.total_allocated_bytes()
+    try:
+        for i in range(0, len(texts), 30):
+            list(tokens.encode_column(pa.array(texts[i : i + 30])))
+        gc.collect()
+        kept = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - in_arrow
+    finally:
+        tracemalloc.stop()
+    assert kept < 100 * len(words)
+
+
+@pytest.mark.parametrize("looked_up", [16, 0, 1])
+def test_forgotten_pieces_have_the_same_ids_again(monkeypatch, looked_up):
+    """However few are known, ids are the library's, and the pieces used stay known."""
+    monkeypatch.setattr(vocabulary, "KNOWN", 60)
+    monkeypatch.setattr(vocabulary, "YOUNG", 10)
+    monkeypatch.setattr(vocabulary, "LOOKED_UP", looked_up)
+    tokens = Encoder(public_path("byte_bpe_50k.json"))
+    asked = []
+    monkeypatch.setattr(tokens, "of_pieces", lambda p, one=tokens.of_pieces: asked.extend(p) or one(p))
+    for k in range(12):
+        texts = [f"the cat sat {k * 20 + i} é\n\n {'w' * 60}{i} 日本" + " <|endoftext|>" * (i % 7 == 0) for i in range(20)]
+        assert list(tokens.encode_column(pa.array(texts))) == tokens._ids(texts)
+        assert len(tokens.known.pieces) == len(tokens.known.ids) == len(tokens.known.used) <= 60 + 20
+    assert (asked.count(" cat") == 1) == (looked_up == 16) and len(tokens.memo) <= 10
+    assert len(set(tokens.known.pieces.to_pylist())) == len(tokens.known.pieces)
